@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscus.operators.filters import is_revenue_account
+from fiscus.functions.predicates import text_literal
+from fiscus.operators.filters import revenue_accounts
 from fiscus.plans.rule import MAX, NONE, SUM, Rule
 from fiscus.schema import (
     BUDGETED, BUDGETED_DEDUCTION, COLLECTED, COLLECTED_DEDUCTION, KEYS, MONTH,
@@ -44,7 +45,8 @@ def aggregate_slice(fact: DataFrame, rule: Rule, horizon: Horizon) -> DataFrame:
     }[rule.collected]
     budget = F.lit(0.0) if rule.budget == NONE else net_sum(BUDGETED, BUDGETED_DEDUCTION)
     return (
-        fact.filter(is_revenue_account() & rule.matches(horizon))
+        revenue_accounts(fact)
+        .filter(rule.condition(horizon))
         .groupBy(*KEYS)
         .agg(collected.alias(NET_COLLECTED), budget.alias(NET_BUDGET))
         .withColumn(NET_COLLECTED, annualised(F.col(NET_COLLECTED), rule.collected_months, rule.collected_times))
@@ -90,7 +92,8 @@ def reduce_fact(fact: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """
     origins = sorted({rule.origin for rule in rules})
     return (
-        fact.filter(is_revenue_account() & F.col(ORIGIN).isin(origins))
+        revenue_accounts(fact)
+        .filter(F.col(ORIGIN).isin(origins))
         .groupBy(*KEYS, month_class(rules).alias(MONTH))
         .agg(
             *[F.sum(column).alias(name) for name, column in SUMS.items()],
@@ -101,9 +104,10 @@ def reduce_fact(fact: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def matching_slices(rules: Sequence[Rule], horizon: Horizon) -> Column:
     """Identifiers of all slices that take a row; categories may overlap."""
-    return F.array_compact(
-        F.array(*[F.when(rule.matches(horizon), F.lit(rule.slice_id)) for rule in rules])
-    )
+    marks = [
+        f"CASE WHEN {rule.condition(horizon)} THEN {text_literal(rule.slice_id)} END" for rule in rules
+    ]
+    return F.expr(f"array_compact(array({', '.join(marks)}))")
 
 
 def aggregate_slices(fact: DataFrame, rules: Sequence[Rule], horizon: Horizon) -> DataFrame:
@@ -122,7 +126,7 @@ def aggregate_slices(fact: DataFrame, rules: Sequence[Rule], horizon: Horizon) -
 def yearly_collection(fact: DataFrame, *extra_keys: str) -> DataFrame:
     """Net collection of all revenue accounts by year and optional further keys."""
     return (
-        fact.filter(is_revenue_account())
+        revenue_accounts(fact)
         .groupBy(YEAR, *extra_keys)
         .agg(net_sum(COLLECTED, COLLECTED_DEDUCTION).alias(NET_COLLECTED))
     )

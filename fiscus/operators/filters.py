@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from fiscus.functions.predicates import starts_with_any
+from fiscus.functions.predicates import contains_any, starts_with_any
 from fiscus.schema import ACCOUNT
 
 # Accounts that carry revenue. The first is searched anywhere in
@@ -14,9 +13,10 @@ BUDGET_ACCOUNT_PART = "521"
 COLLECTION_ACCOUNTS = ("62121", "62131", "62132")
 
 
-def is_revenue_account() -> Column:
-    return F.col(ACCOUNT).contains(BUDGET_ACCOUNT_PART) | starts_with_any(ACCOUNT, COLLECTION_ACCOUNTS)
+REVENUE_ACCOUNT = (
+    f"({contains_any(ACCOUNT, [BUDGET_ACCOUNT_PART])} OR {starts_with_any(ACCOUNT, COLLECTION_ACCOUNTS)})"
+)
 
 
 def revenue_accounts(fact: DataFrame) -> DataFrame:
-    return fact.filter(is_revenue_account())
+    return fact.filter(REVENUE_ACCOUNT)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fiscus.functions.predicates import starts_with_any, starts_with_none
+from fiscus.functions.predicates import all_of, starts_with_any, starts_with_none, text_literal
 from fiscus.schema import ACCOUNT, NATURE, RCL, RLI
 from fiscus.sources.local import literal_table
 
@@ -40,13 +40,13 @@ def flag_rcl(df: DataFrame) -> DataFrame:
 
 
 def flag_rli(df: DataFrame) -> DataFrame:
-    taken = starts_with_any(NATURE, RLI_PREFIXES) & starts_with_none(ACCOUNT, RLI_EXCLUDED_ACCOUNTS)
-    return df.withColumn(RLI, _yes_or_blank(taken))
+    taken = [starts_with_any(NATURE, RLI_PREFIXES), starts_with_none(ACCOUNT, RLI_EXCLUDED_ACCOUNTS)]
+    return df.withColumn(RLI, _yes_or_blank(all_of(taken)))
 
 
-def _yes_or_blank(condition: Column) -> Column:
+def _yes_or_blank(condition: str) -> Column:
     """An unknown code matches nothing: NULL conditions fall through to the blank."""
-    return F.when(condition, "S").otherwise("")
+    return F.when(F.expr(condition), "S").otherwise("")
 
 
 def flag_audit(df: DataFrame) -> DataFrame:
@@ -82,7 +82,8 @@ def flag_audit(df: DataFrame) -> DataFrame:
 
 
 def _first_match(prefixes: Sequence[str]) -> Column:
-    chain = F.when(F.col(NATURE).startswith(prefixes[0]), 1)
-    for position, prefix in enumerate(prefixes[1:], 2):
-        chain = chain.when(F.col(NATURE).startswith(prefix), position)
-    return chain
+    tests = [
+        f"WHEN startswith({NATURE}, {text_literal(prefix)}) THEN {position}"
+        for position, prefix in enumerate(prefixes, 1)
+    ]
+    return F.expr(f"CASE {' '.join(tests)} END")

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from fiscus.functions.predicates import (
-    all_of, contains_any, contains_none, starts_with_none,
+    all_of, contains_any, contains_none, starts_with_none, text_literal,
 )
 from fiscus.schema import ACCOUNT, FUND, MONTH, NAME, ORIGIN, YEAR, Horizon
 from fiscus.sources.parameters import Parameters
@@ -52,9 +49,9 @@ class Rule:
     def has_month_bound(self) -> bool:
         return self.months != (None, None)
 
-    def matches(self, horizon: Horizon) -> Column:
+    def condition(self, horizon: Horizon) -> str:
         """The rule's own condition; the account filter common to all rules comes on top."""
-        parts = [F.col(ORIGIN) == self.origin]
+        parts = [f"{ORIGIN} = {text_literal(self.origin)}"]
         if self.name_any:
             parts.append(contains_any(NAME, self.name_any))
         if self.name_none:
@@ -70,12 +67,12 @@ class Rule:
         return all_of(parts)
 
 
-def _between(name: str, low: int | None, high: int | None) -> list[Column]:
+def _between(name: str, low: int | None, high: int | None) -> list[str]:
     bounds = []
     if low is not None:
-        bounds.append(F.col(name) >= low)
+        bounds.append(f"{name} >= {low}")
     if high is not None:
-        bounds.append(F.col(name) <= high)
+        bounds.append(f"{name} <= {high}")
     return bounds
 
 

@@ -65,7 +65,7 @@ SLICES = {
             NET_COLLECTED, "x", NET_BUDGET, FROM_2019, "x * cvfs20", CVFS),
     "c02": (f"cod_origem = '11' AND {name_has('IPVA')} AND NOT {PENALTY}",
             NET_COLLECTED, "x", NET_BUDGET, FROM_2019, "x * frota20", growth("frota#")),
-    "c03a": (f"cod_origem = '11' AND {name_has('ITCMD')} AND NOT {PENALTY} AND num_mes BETWEEN 7 AND 12",
+    "c03a": (f"cod_origem = '11' AND {name_has('ITCMD')} AND NOT {PENALTY} AND num_mes > 6",
              NET_COLLECTED, "x", NOTHING, FROM_2019, "x * 2", IPCA),
     "c03b": (f"cod_origem = '11' AND {name_has('ITCMD')} AND NOT {PENALTY} AND {JANUARY}",
              NOTHING, "x", NET_BUDGET, FROM_2019, "x * 2", IPCA),
@@ -87,7 +87,7 @@ SLICES = {
     "c11": ("cod_origem = '15'", NET_COLLECTED, "x", NET_BUDGET, FROM_2019, "x * ipca20 * pib20", IPCA_PIB),
     "c12a": (f"cod_origem = '16' AND {name_has('Contribuição')}",
              NET_COLLECTED, "x", NET_BUDGET, FROM_2019, "x * cvfs20", CVFS),
-    "c12b": (f"cod_origem = '16' AND {name_has('SUS')} AND num_mes BETWEEN 8 AND 12",
+    "c12b": (f"cod_origem = '16' AND {name_has('SUS')} AND num_mes > 7",
              NET_COLLECTED, "12 * (x / 5)", NET_BUDGET, FROM_2019, "x", IPCA_PIB),
     "c12b_budget": (f"cod_origem = '16' AND {name_has('SUS')} AND {JANUARY}",
                     NOTHING, "x", NET_BUDGET, FROM_2019, "x", IPCA_PIB),
