@@ -28,7 +28,6 @@ from fiscus.sources.parameters import Parameters, macro_index, nominal_gdp, seli
 from testbed.lineitem_fact import fact_from_lineitem
 
 PARAMETERS = Parameters.default()
-BASE_YEAR = DEFAULT_HORIZON.base_year
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,15 +64,19 @@ def net_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def for_each_projected_year(base_rows: DataFrame) -> DataFrame:
+    """Base-year rows, once for each projected year."""
+    years = F.array(*[F.lit(year) for year in DEFAULT_HORIZON.years])
+    return base_rows.filter(F.col(YEAR) == DEFAULT_HORIZON.base_year).withColumn("ref_year", F.explode(years))
+
+
 def indexed_base_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base-year collection by origin, moved by each growth index of each projected year."""
-    collected = yearly_collection(fact_from_lineitem(spark, sf_dir), ORIGIN)
-    indices = (
-        macro_index(spark, PARAMETERS)
-        .filter(F.col("indicator").isin("IPCA", "PIB", "CVFS", "ANFAVEA"))
-        .withColumn(YEAR, F.lit(BASE_YEAR))
-    )
-    return collected.join(F.broadcast(indices), YEAR).select(
+    collected = for_each_projected_year(yearly_collection(fact_from_lineitem(spark, sf_dir), ORIGIN))
+    growth = F.col("indicator").isin("IPCA", "PIB", "CVFS", "ANFAVEA")
+    indices = macro_index(spark, PARAMETERS).filter(growth)
+    # One row per indicator and parameter year, whatever the size of the fact table.
+    return collected.join(F.broadcast(indices), "ref_year").select(
         ORIGIN, "indicator", "ref_year", "value",
         (F.col(NET_COLLECTED) * F.col("value")).alias("valor_indexado"),
     )
@@ -92,8 +95,9 @@ def nominal_gdp_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selic_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base-year groups of financial income, moved by each year's change of the interest rate."""
     income = category_slice(fact_from_lineitem(spark, sf_dir), rule_by_id("c08")).select(*KEYS, NET_COLLECTED)
-    growth = selic_growth(macro_index(spark, PARAMETERS)).withColumn(YEAR, F.lit(BASE_YEAR))
-    return income.join(F.broadcast(growth), YEAR).select(
+    growth = selic_growth(macro_index(spark, PARAMETERS))
+    # One row per parameter year, whatever the size of the fact table.
+    return for_each_projected_year(income).join(F.broadcast(growth), "ref_year").select(
         *KEYS, "ref_year", "selic_ratio",
         (F.col(NET_COLLECTED) * F.col("selic_ratio")).alias("valor_corrigido"),
     )

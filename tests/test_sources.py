@@ -105,7 +105,7 @@ def test_parameter_rows_hold_given_and_derived_values(spark):
     assert rows[("FX", 2019)] == 4.1
     assert rows[("ANFAVEA", 2023)] == 1.035 * 1.025 * 0.97
     assert rows[("SELIC", 2019)] == 0.065
-    assert len(rows) == 44
+    assert len(rows) == 45
 
 
 def test_nominal_gdp_chain(spark):
