@@ -63,23 +63,29 @@ def annualised(amount: Column, months: Column | int, times: Column | int) -> Col
 
 
 def month_class(rules: Sequence[Rule]) -> Column:
-    """A representative month for all months that no rule tells apart.
+    """A representative month for all months that no rule of the origin tells apart.
 
     Months between two window edges fall into one class, named by its first
     month, so that every month condition holds for the class exactly when it
     holds for each month in it. Origins without month windows need no class.
     """
-    bounded = [rule for rule in rules if rule.has_month_bound]
-    edges = {rule.months[0] for rule in bounded} | {
-        rule.months[1] + 1 for rule in bounded if rule.months[1] is not None
-    }
-    edges = sorted(edge for edge in edges if edge is not None)
-    if not edges:
-        return F.lit(None).cast("int")
-    chain = F.when(F.col(MONTH) < edges[0], edges[0] - 1)
-    for edge in reversed(edges):
-        chain = chain.when(F.col(MONTH) >= edge, edge)
-    return F.when(F.col(ORIGIN).isin(sorted({rule.origin for rule in bounded})), chain)
+    edges: dict[str, set[int]] = {}
+    for rule in rules:
+        if rule.has_month_bound:
+            first, last = rule.months
+            found = edges.setdefault(rule.origin, set())
+            found.update([first] if first is not None else [])
+            found.update([last + 1] if last is not None else [])
+    branches = [
+        f"WHEN {ORIGIN} = {text_literal(origin)} THEN {_class_between(sorted(found))}"
+        for origin, found in edges.items()
+    ]
+    return F.expr(f"CASE {' '.join(branches)} END") if branches else F.lit(None).cast("int")
+
+
+def _class_between(edges: Sequence[int]) -> str:
+    later = [f"WHEN {MONTH} >= {edge} THEN {edge}" for edge in reversed(edges)]
+    return f"CASE {' '.join(later)} WHEN {MONTH} < {edges[0]} THEN {edges[0] - 1} END"
 
 
 def reduce_fact(fact: DataFrame, rules: Sequence[Rule]) -> DataFrame:
