@@ -6,6 +6,7 @@ indices, flags, deflates and publishes the consolidated table.
 """
 
 from fiscus.plans.projection_plan import project_revenue, publishable_revenue
+from fiscus.schema import Horizon
 from fiscus.sources.parameters import Parameters
 
-__all__ = ["Parameters", "project_revenue", "publishable_revenue"]
+__all__ = ["Horizon", "Parameters", "project_revenue", "publishable_revenue"]

@@ -54,11 +54,7 @@ def aggregate_slice(fact: DataFrame, rule: Rule, horizon: Horizon) -> DataFrame:
 
 
 def annualised(amount: Column, months: Column | int, times: Column | int) -> Column:
-    """Monthly mean of a partial year, times a number of months."""
-    if isinstance(months, int) and isinstance(times, int):
-        if months != 1:
-            amount = amount / float(months)
-        return amount if times == 1 else amount * float(times)
+    """Monthly mean of a partial year, times a number of months; ones change nothing."""
     return amount / months * times
 
 

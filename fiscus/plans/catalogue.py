@@ -7,7 +7,7 @@ trailing blanks and the line feed inside a label belong to the value.
 
 from __future__ import annotations
 
-from fiscus.plans.rule import MAX, NONE, SUM, Rule
+from fiscus.plans.rule import MAX, NONE, Rule
 
 PENALTIES = ("Juro", "Multa", "Dívida Ativa")
 FIRST_MONTH = (None, 1)
@@ -275,6 +275,3 @@ STACKED_PAIRS = {
 
 def rule_by_id(slice_id: str) -> Rule:
     return {rule.slice_id: rule for rule in CATALOGUE}[slice_id]
-
-
-__all__ = ["CATALOGUE", "MAX", "NONE", "STACKED_PAIRS", "SUM", "rule_by_id"]

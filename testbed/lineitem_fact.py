@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fiscus.schema import (
-    ACCOUNT, BUDGETED, BUDGETED_DEDUCTION, COLLECTED, COLLECTED_DEDUCTION, FACT_SCHEMA, FUND, MONEY,
+    ACCOUNT, BUDGETED, BUDGETED_DEDUCTION, COLLECTED, COLLECTED_DEDUCTION, FUND, MONEY,
     MONTH, NAME, NATURE, ORIGIN, UNIT, YEAR,
 )
 from fiscus.sources.fact import conform_fact
@@ -139,6 +139,3 @@ fat AS MATERIALIZED (
   FROM lineitem
   JOIN nat ON nat.k = (l_orderkey * 7 + l_linenumber) % {len(NATURES)}
   JOIN acc ON acc.a = l_partkey % {len(ACCOUNTS)})"""
-
-
-__all__ = ["ACCOUNTS", "FACT_SCHEMA", "NATURES", "fact_from_lineitem", "fact_sql", "sql_text"]
