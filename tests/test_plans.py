@@ -76,3 +76,15 @@ def test_no_query_joins_without_a_key_or_leaves_the_jvm(spark, name):
     plan = plan_of(queries()[name](spark, SMALL_TABLES))
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
     assert plan.count("FileScan") == 1
+
+
+def test_generated_methods_stay_small_enough_to_be_compiled(spark, stored_fact):
+    """The JVM interprets methods above 8,000 bytes of bytecode."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        text = project_revenue(stored_fact)._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000

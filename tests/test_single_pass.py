@@ -111,3 +111,27 @@ def test_empty_fact_leaves_the_manual_rows(spark):
     empty = spark.createDataFrame([], FACT_SCHEMA)
     assert stacked_slices(empty).count() == 0
     assert project_revenue(empty).count() == 4
+
+
+@pytest.mark.parametrize(
+    "settings",
+    [
+        {"spark.sql.adaptive.enabled": "false"},
+        {"spark.sql.shuffle.partitions": "1"},
+        {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.coalescePartitions.enabled": "false"},
+        {"spark.sql.autoBroadcastJoinThreshold": "-1"},
+        {"spark.sql.ansi.enabled": "false"},
+        {"spark.sql.codegen.wholeStage": "false"},
+    ],
+    ids=lambda settings: " ".join(key.removeprefix("spark.sql.") for key in settings),
+)
+def test_result_does_not_depend_on_how_spark_runs_it(spark, rough_fact, settings):
+    expected = rows_of(project_revenue(rough_fact))
+    previous = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        assert rows_of(project_revenue(rough_fact.repartition(13))) == expected
+    finally:
+        for key, value in previous.items():
+            spark.conf.set(key, value)
