@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fiscus.llm.bpe import round_trip
 from fiscus.llm.chat_format import digest_examples, format_examples
 from fiscus.llm.exact_dedup import deduplicate_batch
+from fiscus.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +20,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return deduplicate_batch(docs).select(
@@ -33,6 +40,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_examples(format_examples(turns.unionByName(added)))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
  g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -57,7 +68,12 @@ FROM c GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {"op6_exact_dedup": op6_exact_dedup, "op7_chat_format": op7_chat_format}
+    return {
+        "op4_bpe_round_trip": op4_bpe_round_trip,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op7_chat_format": op7_chat_format,
+        "op10_token_counts": op10_token_counts,
+    }
 
 
 def statements() -> dict[str, str]:
