@@ -181,3 +181,85 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
             if left % fit:
                 by_size[left % fit * length].append([1, (length,) * (left % fit)])
     return [(count, lengths) for size in sorted(by_size) for count, lengths in by_size[size]]
+
+
+SLOT_SCHEMA = "length long, first_rank long, end_rank long, first_sequence long, first_offset long, times long"
+
+
+def pattern_slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, ...]]:
+    """For each length of each pattern: which numbers of that length it takes, and where they go.
+
+    A pattern that holds a length several times takes that many consecutive numbers for each sequence.
+    """
+    slots = []
+    taken: dict[int, int] = defaultdict(int)
+    sequence = 0
+    for count, lengths in patterns:
+        offset = 0
+        for length in sorted(set(lengths), reverse=True):
+            times = lengths.count(length)
+            first = taken[length]
+            taken[length] += count * times
+            slots.append((length, first, taken[length], sequence, offset, times))
+            offset += times * length
+        sequence += count
+    return slots
+
+
+def numbered(pieces: DataFrame, histogram: dict[int, int], id_col: str) -> DataFrame:
+    """``rank`` from 0 among the pieces of the same length, made in parts of about the root of all pieces."""
+    spark = pieces.sparkSession
+    part = max(200, math.isqrt(sum(histogram.values())))
+    salts = spark.createDataFrame(
+        [(length, math.ceil(n / part)) for length, n in histogram.items()], "length long, salts long"
+    )
+    # At most one row per length up to the capacity, whatever the corpus.
+    salted = pieces.join(F.broadcast(salts), "length").withColumn(
+        "salt", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.col("salts"))
+    )
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        salted.groupBy("length", "salt")
+        .count()
+        .select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
+    )
+    within = Window.partitionBy("length", "salt").orderBy(id_col, "start", "ids_crc32", "doc_tokens")
+    return (
+        salted.withColumn("within", F.row_number().over(within) - 1)
+        .join(shifts, ["length", "salt"])
+        .withColumn("rank", F.col("shift") + F.col("within"))
+    )
+
+
+def pack(
+    docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
+
+    Offsets of a sequence leave no gap. A null or empty text is its end id
+    alone. Rows that repeat an id are packed each on its own; null ids are
+    allowed. An empty table gives an empty result; further columns are ignored.
+    """
+    pieces = stored(cut_pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
+    # At most ``capacity`` rows, so the plan may be made on the driver.
+    histogram = {row["length"]: row["count"] for row in pieces.groupBy("length").count().collect()}
+    slots = docs.sparkSession.createDataFrame(
+        pattern_slots(shortest_pack_first(histogram, capacity)), SLOT_SCHEMA
+    )
+    place = F.col("rank") - F.col("first_rank")
+    # The slots follow from the histogram: their number is bounded by the capacity, not by the corpus.
+    return (
+        numbered(pieces, histogram, id_col)
+        .join(
+            F.broadcast(slots.withColumnRenamed("length", "slot_length")),
+            (F.col("length") == F.col("slot_length"))
+            & (F.col("rank") >= F.col("first_rank"))
+            & (F.col("rank") < F.col("end_rank")),
+        )
+        .select(
+            id_col,
+            *PIECE_COLUMNS,
+            (F.col("first_sequence") + F.floor(place / F.col("times"))).alias("sequence_id"),
+            (F.col("first_offset") + F.pmod(place, F.col("times")) * F.col("length")).alias("offset"),
+        )
+    )

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from fiscus.llm.bpe import round_trip
 from fiscus.llm.chat_format import digest_examples, format_examples
 from fiscus.llm.exact_dedup import deduplicate_batch
+from fiscus.llm.packing import pack
 from fiscus.llm.token_counts import count_tokens
+from fiscus.llm.topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +26,11 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return deduplicate_batch(docs).select(
@@ -40,10 +47,24 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_examples(format_examples(turns.unionByName(added)))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
  g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -70,11 +91,13 @@ FROM c GROUP BY conv_id
 def queries() -> dict[str, Query]:
     return {
         "op4_bpe_round_trip": op4_bpe_round_trip,
+        "op5_exact_top_k": op5_exact_top_k,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_chat_format": op7_chat_format,
+        "op9_packing": op9_packing,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def statements() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL}
+    return {"op5_exact_top_k": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL}
