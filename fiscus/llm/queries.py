@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscus.llm.bpe import round_trip
 from fiscus.llm.chat_format import digest_examples, format_examples
 from fiscus.llm.exact_dedup import deduplicate_batch
+from fiscus.llm.language_id import identify
+from fiscus.llm.near_dedup import near_duplicates
 from fiscus.llm.packing import pack
+from fiscus.llm.quality import fit_rules, score_quality
 from fiscus.llm.token_counts import count_tokens
 from fiscus.llm.topk import top_k
 
@@ -22,6 +25,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def held_out() -> Column:
+    """A quarter of the documents, by a checksum of the id, is kept from training; null ids are not among them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return identify(docs, docs.filter(F.col("doc_id").isNotNull() & ~held_out())).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
+    return score_quality(docs, fit_rules(docs, labels)).select(
+        "doc_id", held_out().alias("held_out"), "score", "predicted"
+    )
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -55,6 +82,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(
+   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+   lambda x: x <> '') AS w FROM documents),
+ l AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS l FROM w),
+ n AS (SELECT doc_id, len(l) AS n FROM l),
+ s AS MATERIALIZED (SELECT doc_id, hash(s) AS s FROM (SELECT doc_id, unnest(l) AS s FROM l)),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id <> b.doc_id
+   GROUP BY ALL),
+ e AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n AS x ON x.doc_id = p.a JOIN n AS y ON y.doc_id = p.b
+   WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ r AS (SELECT doc_id AS id, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+SELECT n.doc_id, CAST(any_value(n.n) AS BIGINT) AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept
+FROM n JOIN r ON r.id = n.doc_id GROUP BY n.doc_id
+"""
+
 OP5_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
@@ -90,6 +134,9 @@ FROM c GROUP BY conv_id
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_quality": op2_quality,
+        "op3_near_dedup": op3_near_dedup,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_exact_top_k": op5_exact_top_k,
         "op6_exact_dedup": op6_exact_dedup,
@@ -100,4 +147,4 @@ def queries() -> dict[str, Query]:
 
 
 def statements() -> dict[str, str]:
-    return {"op5_exact_top_k": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL}
+    return {"op3_near_dedup": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL}
