@@ -14,6 +14,7 @@ from fiscus.llm.exact_dedup import deduplicate_batch
 from fiscus.llm.language_id import identify
 from fiscus.llm.near_dedup import near_duplicates
 from fiscus.llm.packing import pack
+from fiscus.llm.paragraph_dedup import remove_repeats
 from fiscus.llm.quality import fit_rules, score_quality
 from fiscus.llm.token_counts import count_tokens
 from fiscus.llm.topk import top_k
@@ -74,6 +75,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_examples(format_examples(turns.unionByName(added)))
 
 
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
 
@@ -141,6 +146,7 @@ def queries() -> dict[str, Query]:
         "op5_exact_top_k": op5_exact_top_k,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_chat_format": op7_chat_format,
+        "op8_paragraph_dedup": op8_paragraph_dedup,
         "op9_packing": op9_packing,
         "op10_token_counts": op10_token_counts,
     }
