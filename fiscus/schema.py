@@ -23,7 +23,11 @@ BUDGETED_DEDUCTION = "val_receita_orcada_deducao"
 KEYS = [UNIT, ACCOUNT, ORIGIN, FUND, NATURE, NAME, YEAR]
 MEASURES = [COLLECTED, COLLECTED_DEDUCTION, BUDGETED, BUDGETED_DEDUCTION]
 
+CODES = KEYS[:-1]
+
 MONEY = T.DecimalType(18, 2)
+# Amounts that do not come as decimals: text, doubles, integers.
+AMOUNT = T.DecimalType(28, 8)
 
 FACT_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for name in KEYS[:-1]]

@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import re
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from fiscus.functions.numbers import locale_number
-from fiscus.schema import COLLECTED, FACT_SCHEMA, MEASURES, Horizon
+from fiscus.plans.projection_plan import project_revenue
+from fiscus.schema import AMOUNT, COLLECTED, FACT_SCHEMA, MEASURES, Horizon
 from fiscus.sources.fact import conform_fact, read_fact_jdbc, read_fact_parquet, read_fact_table
-from fiscus.sources.manual import manual_rows
+from fiscus.sources.manual import MANUAL_ROWS, manual_rows, paid_until
 from fiscus.sources.parameters import Parameters, macro_index, nominal_gdp, selic_growth
 from tests.conftest import fact_row, make_fact
 
@@ -32,7 +35,8 @@ def test_text_measures_are_parsed_and_columns_selected_by_name(spark):
         *[F.col(c) for c in fact.columns if c not in MEASURES],
     ).withColumn("num_ano", F.col("num_ano").cast("bigint"))
     conformed = conform_fact(text)
-    assert [(f.name, f.dataType) for f in conformed.schema] == [(f.name, f.dataType) for f in FACT_SCHEMA]
+    assert conformed.columns == FACT_SCHEMA.names
+    assert {f.dataType for f in conformed.schema if f.name in MEASURES} == {AMOUNT}
     assert conformed.collect()[0][COLLECTED] == Decimal("12.34")
 
 
@@ -75,9 +79,15 @@ class JdbcRecorder:
 def test_jdbc_options_come_from_the_caller(spark):
     fact = make_fact(spark, [fact_row()])
     options = {"url": "jdbc:x:y", "dbtable": "t", "user": "u"}
+    with pytest.raises(ValueError, match="partitionColumn"):
+        read_fact_jdbc(JdbcRecorder(fact), options)
+    split = {"partitionColumn": "num_ano", "lowerBound": "2010", "upperBound": "2021"}
+    with pytest.raises(ValueError, match="missing: numPartitions"):
+        read_fact_jdbc(JdbcRecorder(fact), {**options, **split})
+    split["numpartitions"] = "12"
     recorder = JdbcRecorder(fact)
-    assert read_fact_jdbc(recorder, options).count() == 1
-    assert recorder.calls == [("format", "jdbc"), ("options", options)]
+    assert read_fact_jdbc(recorder, {**options, **split}).count() == 1
+    assert recorder.calls == [("format", "jdbc"), ("options", {**options, **split})]
     recorder = JdbcRecorder(fact)
     read_fact_jdbc(recorder, options, predicates=["num_ano = 2019", "num_ano = 2020"])
     assert recorder.calls == [
@@ -142,3 +152,84 @@ def test_manual_rows(spark):
     assert rows["2128015100"].projecao_receita_arrecadada_liquida2020 == 37695571.0
     assert {r.ldo for code, r in rows.items() if code != "1360011101"} == {"N"}
     assert all(r.receita_arrecadada_liquida == r.receita_orcada_liquida == 0 for r in rows.values())
+
+
+def with_amounts(spark, values, kind):
+    fact = make_fact(spark, [fact_row()]).drop(COLLECTED)
+    amounts = spark.createDataFrame([(value,) for value in values], f"{COLLECTED} {kind}")
+    return conform_fact(fact.crossJoin(amounts))
+
+
+def test_unreadable_amounts_stop_the_query_with_column_and_value(spark):
+    for text in ("1.234,56", "abc", "0,123456789"):
+        with pytest.raises(Exception, match=f"unreadable amount in {COLLECTED}: {text}"):
+            with_amounts(spark, [text], "string").collect()
+    with pytest.raises(Exception, match=f"unreadable amount in {COLLECTED}: NaN"):
+        with_amounts(spark, [float("nan")], "double").collect()
+
+
+def test_blank_and_null_amounts_stay_null(spark):
+    found = [row[COLLECTED] for row in with_amounts(spark, [" ", "", None, "7,5"], "string").collect()]
+    assert sorted(found, key=str) == [Decimal("7.50000000"), None, None, None]
+
+
+@pytest.mark.parametrize(("value", "kind"), [("0,004", "string"), (Decimal("0.0040"), "decimal(20,4)"), (0.004, "double")])
+def test_small_amounts_are_not_rounded_before_the_sum(spark, value, kind):
+    total = with_amounts(spark, [value] * 1000, kind).agg(F.sum(COLLECTED)).first()[0]
+    assert total == Decimal(4)
+
+
+@pytest.mark.parametrize("folders", [["cod_fonte_recurso"], ["cod_unidade_gestora"], ["num_ano", "cod_origem"]])
+def test_codes_stay_text_in_every_layout(spark, tmp_path, folders):
+    rows = [
+        fact_row(origin="17", name="Convênio", fund=fund, nature="1718101100", unit=unit, year=year, collected="5")
+        for fund in ("0128000000", "0100000000") for unit in ("052001", "520099") for year in (2019, 2020)
+    ]
+    fact = make_fact(spark, rows)
+    fact.write.partitionBy(*folders).parquet(str(tmp_path / "fact"))
+    read = read_fact_parquet(spark, str(tmp_path / "fact"))
+    assert read.dtypes == fact.dtypes
+    assert sorted(map(repr, project_revenue(read).collect())) == sorted(map(repr, project_revenue(fact).collect()))
+    one = read.filter(F.col(folders[0]) == rows[0][FACT_SCHEMA.names.index(folders[0])])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"PartitionFilters: \[[^\]]*{folders[0]}#\d+ = ", plan)
+
+
+def test_codes_stored_as_numbers_are_refused(spark, tmp_path):
+    path = str(tmp_path / "numbers")
+    make_fact(spark, [fact_row()]).withColumn("cod_fonte_recurso", F.lit(128000000)).write.parquet(path)
+    with pytest.raises(ValueError, match="cod_fonte_recurso"):
+        read_fact_parquet(spark, path)
+
+
+def test_a_newer_given_product_starts_a_new_chain(spark):
+    later = Parameters.default().replace({("PIB_SC", 2021): 400e9})
+    found = {r.ref_year: r.nominal_gdp for r in nominal_gdp(macro_index(spark, later)).collect()}
+    assert found[2021] == 400e9
+    assert found[2022] == pytest.approx(400e9 * 1.025 * 1.035, rel=1e-14)
+    assert found[2020] == pytest.approx(317300000000.0 * 1.0002 * 1.0305, rel=1e-14)
+
+
+def test_fleet_factors_for_every_year_with_both_indices(spark):
+    later = Parameters.default().replace({("IPCA", 2024): 1.03, ("PIB", 2024): 1.02})
+    found = {(r.indicator, r.ref_year): r.value for r in macro_index(spark, later).collect()}
+    assert found[("ANFAVEA", 2024)] == later.value("ANFAVEA", 2024) == 1.03 * 1.02 * 0.97
+    kept = {key: value for key, value in Parameters.default().values.items() if key != ("IPCA", 2022)}
+    fewer = {r.ref_year for r in macro_index(spark, Parameters(kept)).collect() if r.indicator == "ANFAVEA"}
+    assert fewer == {2020, 2021}
+
+
+def test_manual_rows_go_by_calendar_year_and_are_an_argument(spark):
+    def prodec(horizon):
+        rows = manual_rows(spark, Parameters.default(), horizon).collect()
+        return next(r for r in rows if r.cod_detalhamento == "1990992101")
+
+    early, late = prodec(Horizon(2019, 2023)), prodec(Horizon(2020, 2023))
+    assert early.projecao_receita_arrecadada_liquida2021 == late.projecao_receita_arrecadada_liquida2021
+    assert early.projecao_receita_arrecadada_liquida2021 == 28962264.0 * 1.0357
+    fact = make_fact(spark, [fact_row(collected="1")])
+    assert project_revenue(fact, manual=()).count() == 1
+    extra = replace(MANUAL_ROWS[0], name="Novo contrato", amount=paid_until(2021, 10.0))
+    only = project_revenue(fact, manual=(extra,)).filter("nom_detalhamento = 'Novo contrato'").collect()
+    assert [r.projecao_receita_arrecadada_liquida2021 for r in only] == [10.0]
+    assert [r.projecao_receita_arrecadada_liquida2022 for r in only] == [0.0]
