@@ -14,7 +14,7 @@ from fiscus.operators.projection import project_slice, project_slices
 from fiscus.plans.catalogue import CATALOGUE
 from fiscus.plans.rule import Rule
 from fiscus.schema import BASE_VALUE, NET_COLLECTED, UPDATED_AT, Horizon, result_columns
-from fiscus.sources.manual import manual_rows
+from fiscus.sources.manual import MANUAL_ROWS, ManualRow, manual_rows
 from fiscus.sources.parameters import Parameters
 
 DEFAULT_HORIZON = Horizon()
@@ -51,10 +51,11 @@ def stacked_with_manual_rows(
     parameters: Parameters | None = None,
     horizon: Horizon = DEFAULT_HORIZON,
     rules: Sequence[Rule] = CATALOGUE,
+    manual: Sequence[ManualRow] = MANUAL_ROWS,
 ) -> DataFrame:
     parameters = parameters or Parameters.default()
     slices = stacked_slices(fact, parameters, horizon, rules)
-    return slices.unionByName(manual_rows(fact.sparkSession, parameters, horizon))
+    return slices.unionByName(manual_rows(fact.sparkSession, parameters, horizon, manual))
 
 
 def consolidate(
@@ -72,9 +73,10 @@ def project_revenue(
     parameters: Parameters | None = None,
     horizon: Horizon = DEFAULT_HORIZON,
     rules: Sequence[Rule] = CATALOGUE,
+    manual: Sequence[ManualRow] = MANUAL_ROWS,
 ) -> DataFrame:
-    """The consolidated revenue projection, without the audit column."""
-    return consolidate(stacked_with_manual_rows(fact, parameters, horizon, rules), parameters, horizon)
+    """The consolidated revenue projection, without the audit column; ``manual=()`` leaves contracts out."""
+    return consolidate(stacked_with_manual_rows(fact, parameters, horizon, rules, manual), parameters, horizon)
 
 
 def publishable_revenue(result: DataFrame) -> DataFrame:

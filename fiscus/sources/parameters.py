@@ -81,13 +81,17 @@ class Parameters:
 
 
 def macro_index(spark: SparkSession, parameters: Parameters) -> DataFrame:
-    """All indicators as rows; a fleet factor that is not given is derived from the other indices."""
-    rows = [(name, year, value) for (name, year), value in parameters.values.items()]
-    given = {(name, year) for name, year, _ in rows}
+    """All indicators as rows; fleet factors that are not given are derived for every year that has both indices."""
+    given = parameters.values
+    rows = [(name, year, value) for (name, year), value in given.items()]
+
+    def indexed(year: int) -> bool:
+        return ("IPCA", year) in given and ("PIB", year) in given
+
     rows += [
         ("ANFAVEA", year, parameters.value("ANFAVEA", year))
-        for year in FLEET_INDEX_YEAR
-        if ("ANFAVEA", year) not in given
+        for year in sorted({year for _, year in given})
+        if ("ANFAVEA", year) not in given and indexed(year) and indexed(FLEET_INDEX_YEAR.get(year, year))
     ]
     return literal_table(spark, rows, INDEX_SCHEMA)
 
@@ -103,11 +107,14 @@ def nominal_gdp(indices: DataFrame) -> DataFrame:
             F.max(F.when(F.col("indicator") == "IPCA", F.col("value"))).alias("inflation"),
         )
     )
-    # The window spans one row per parameter year, not the fact table.
+    # The windows span one row per parameter year, not the fact table. A given value starts a new run.
     history = Window.orderBy("ref_year").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("run").orderBy("ref_year").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.when(F.col("given").isNull(), F.col("growth") * F.col("inflation"))
-    chained = F.last("given", ignorenulls=True).over(history) * F.product(step).over(history)
-    return gdp.select("ref_year", F.coalesce("given", chained).alias("nominal_gdp"))
+    chained = F.first("given").over(run) * F.product(step).over(run)
+    return gdp.withColumn("run", F.count("given").over(history)).select(
+        "ref_year", F.coalesce("given", chained).alias("nominal_gdp")
+    )
 
 
 def selic_growth(indices: DataFrame) -> DataFrame:
