@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscus.functions.predicates import text_literal
+from fiscus.functions.predicates import all_of, text_literal
 from fiscus.operators.filters import revenue_accounts
 from fiscus.plans.rule import MAX, NONE, SUM, Rule
 from fiscus.schema import (
@@ -84,18 +84,33 @@ def _class_between(edges: Sequence[int]) -> str:
     return f"CASE {' '.join(later)} WHEN {MONTH} < {edges[0]} THEN {edges[0] - 1} END"
 
 
-def reduce_fact(fact: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def bounded_origins(rules: Sequence[Rule], horizon: Horizon) -> str | None:
+    """Months and years that some rule takes, for each origin whose rules are all bounded; it reaches the scan."""
+    by_origin: dict[str, list[str]] = {}
+    for rule in rules:
+        by_origin.setdefault(rule.origin, []).append(all_of(rule.period(horizon)) if rule.period(horizon) else "")
+    parts = [
+        f"({ORIGIN} <> {text_literal(origin)} OR {' OR '.join(f'({bound})' for bound in dict.fromkeys(bounds))})"
+        for origin, bounds in by_origin.items()
+        if all(bounds)
+    ]
+    return all_of(parts) if parts else None
+
+
+def reduce_fact(fact: DataFrame, rules: Sequence[Rule], horizon: Horizon) -> DataFrame:
     """First step: collapse the fact table to one row per key and month class.
 
     This is the only step whose work grows with the fact table. It reads the
     table once, evaluates no text search but the account filter, and combines
     on the map side, so a key that holds a large share of all rows sends at
-    most one row per task and month class through the shuffle.
+    most one row per task and month class through the shuffle. Months and
+    years that no rule of an origin takes are left at the scan.
     """
     origins = sorted({rule.origin for rule in rules})
+    bounds = bounded_origins(rules, horizon)
+    taken = revenue_accounts(fact).filter(F.col(ORIGIN).isin(origins))
     return (
-        revenue_accounts(fact)
-        .filter(F.col(ORIGIN).isin(origins))
+        (taken.filter(bounds) if bounds else taken)
         .groupBy(*KEYS, month_class(rules).alias(MONTH))
         .agg(
             *[F.sum(column).alias(name) for name, column in SUMS.items()],
@@ -115,7 +130,7 @@ def matching_slices(rules: Sequence[Rule], horizon: Horizon) -> Column:
 def aggregate_slices(fact: DataFrame, rules: Sequence[Rule], horizon: Horizon) -> DataFrame:
     """All slices from one scan: reduce, assign slices, merge month classes."""
     return (
-        reduce_fact(fact, rules)
+        reduce_fact(fact, rules, horizon)
         .withColumn(SLICE, F.explode(matching_slices(rules, horizon)))
         .groupBy(SLICE, *KEYS)
         .agg(

@@ -62,9 +62,12 @@ class Rule:
             parts.append(starts_with_none(FUND, self.fund_not_prefix))
         if self.account_none:
             parts.append(contains_none(ACCOUNT, self.account_none))
-        parts += _between(MONTH, *self.months)
-        parts += _between(YEAR, *[None if y is None else horizon.base_year + y for y in self.years])
-        return all_of(parts)
+        return all_of(parts + self.period(horizon))
+
+    def period(self, horizon: Horizon) -> list[str]:
+        """The rule's month and year conditions; none if it takes any time."""
+        years = [None if y is None else horizon.base_year + y for y in self.years]
+        return _between(MONTH, *self.months) + _between(YEAR, *years)
 
 
 def _between(name: str, low: int | None, high: int | None) -> list[str]:

@@ -9,7 +9,7 @@ import pytest
 from fiscus.operators.aggregate import reduce_fact
 from fiscus.plans.catalogue import CATALOGUE, rule_by_id
 from fiscus.plans.projection_plan import category_slice, project_revenue
-from fiscus.schema import KEYS
+from fiscus.schema import KEYS, Horizon
 from fiscus.sources.fact import read_fact_parquet
 from testbed.queries import queries
 from tests.conftest import SMALL_TABLES, fact_row, make_fact
@@ -62,7 +62,7 @@ def test_slice_reads_only_its_columns(stored_fact):
 def test_months_collapse_before_the_shuffle(spark):
     """A key that holds most rows leaves the first step as one row per month class."""
     rows = [fact_row(name="ITCMD", month=1 + i % 12, collected="1") for i in range(600)]
-    reduced = reduce_fact(make_fact(spark, rows), CATALOGUE)
+    reduced = reduce_fact(make_fact(spark, rows), CATALOGUE, Horizon())
     assert sorted(r.num_mes for r in reduced.select("num_mes").collect()) == [1, 2, 7]
     assert reduced.groupBy(*KEYS).count().count() == 1
     plan = plan_of(reduced)
@@ -88,3 +88,15 @@ def test_generated_methods_stay_small_enough_to_be_compiled(spark, stored_fact):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", text)]
     assert sizes and max(sizes) < 8000
+
+
+def test_periods_that_no_rule_takes_are_left_at_the_scan(stored_fact):
+    plan = plan_of(project_revenue(stored_fact))
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", plan, re.S).group(1)
+    assert "Or(Not(EqualTo(cod_origem,72)),LessThanOrEqual(num_mes,1))" in pushed.replace(" ", "")
+
+
+def test_rows_outside_all_periods_never_reach_the_first_shuffle(spark):
+    rows = [fact_row(origin="72", month=month, collected="1") for month in range(1, 13)]
+    reduced = reduce_fact(make_fact(spark, rows), CATALOGUE, Horizon()).collect()
+    assert len(reduced) == 1 and reduced[0].num_mes <= 1
