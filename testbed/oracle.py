@@ -1,14 +1,11 @@
 """DuckDB statements that state each query's expected result.
 
 Conditions, seeds and growth formulas are written out here a second time, in
-SQL, and do not come from the rule catalogue; only the label and memo texts
-are taken from it.
+SQL, as are the texts and prefixes; nothing is taken from the rule catalogue.
 """
 
 from __future__ import annotations
 
-from fiscus.operators.flags import RCL_PREFIXES, RLI_PREFIXES
-from fiscus.plans.catalogue import STACKED_PAIRS, rule_by_id
 from testbed.lineitem_fact import fact_sql, sql_text
 
 KEYS = (
@@ -18,20 +15,264 @@ KEYS = (
 PROJECTIONS = ", ".join(f"projecao_receita_arrecadada_liquida{year}" for year in range(2020, 2024))
 STACKED = f"{KEYS}, receita_arrecadada_liquida, receita_orcada_liquida, nome_receita_ldo, memoria_calculo, {PROJECTIONS}, ldo"
 
+# Fixed values, stated a second time: label, memo and ldo of each slice.
+TEXTS = {
+    "c01": (
+        "1.IRRF",
+        "Crescimento vegetativo da folha de salários",
+        "S",
+    ),
+    "c02": (
+        "2.IPVA",
+        "Dados da ANFAVEA. Para 2021-2023 PIB+IPCA+3%desvalorização",
+        "S",
+    ),
+    "c03a": (
+        "3.ITCMD",
+        "2º Semestre de 2019 x 2. Para 2021-2023 utilizado IPCA",
+        "S",
+    ),
+    "c03b": (
+        "3.ITCMD",
+        "2º Semestre de 2019 x 2. Para 2021-2023 utilizado IPCA",
+        "S",
+    ),
+    "c04": (
+        "4.ICMS",
+        "Execução2019+PIB+IPCA+EF. Para 2021-2023 utilizado PIB+IPCA. EF igualado a zero.",
+        "S",
+    ),
+    "c05": (
+        "5.Taxas",
+        "Receita executada de 2019+IPCA+PIB",
+        "S",
+    ),
+    "c06": (
+        "6.Outras receitas tributárias",
+        "Receita executada de 2019+IPCA+PIB+Esforço Fiscal. Para 2021-2023 IPCA+PIB. EF igualado a zero",
+        "S",
+    ),
+    "c07": (
+        "7.Contribuições",
+        "Receita executada de 2019+CVFS-2% (A receita de contribuições tem crescido a uma taxa mais baixa que CVFS. Para 2021-2023 CVFS",
+        "S",
+    ),
+    "c08": (
+        "8.Receita Patrimonial - Rendimento de aplicações financeiras",
+        "Receita executada de 2019+IPCA+Aumento da SELIC. Para 2021-2023 IPCA+SELIC.",
+        "S",
+    ),
+    "c09": (
+        " 9.Receita Patrimonial - Não financeiras",
+        "Início de 2020 x 12. Para 2021-2023 IPCA.",
+        "S",
+    ),
+    "c10": (
+        " 10. Receita Agropecuária",
+        "Receita executada de 2019+PIB+IPCA. Para 2021-2023 PIB+IPCA.",
+        "S",
+    ),
+    "c11": (
+        "11. Receita Industrial",
+        "Receita executada de 2019+PIB+IPCA. Para 2021-2023 PIB+IPCA",
+        "S",
+    ),
+    "c12a": (
+        "12. Receita de Serviços",
+        "Para contribuições: CVFS. Para os demais PIB+IPCA",
+        "S",
+    ),
+    "c12b": (
+        "12. Receita de Serviços",
+        "Para contribuições: CVFS. Para os demais PIB+IPCA",
+        "S",
+    ),
+    "c12b_budget": (
+        "12. Receita de Serviços",
+        "Para contribuições: CVFS. Para os demais PIB+IPCA",
+        "S",
+    ),
+    "c12c": (
+        "12. Receita de Serviços",
+        "Para contribuições: CVFS. Para os demais PIB+IPCA",
+        "S",
+    ),
+    "c13": (
+        "13. Transferências Correntes - Cota-Parte do Fundo Participação Estado e DF ",
+        "Receita de 2019 corrigida por PIB+IPCA. Para 2021-2023 PIB+IPCA",
+        "S",
+    ),
+    "c14": (
+        "14. Transferências Correntes - Cota-Parte do IPI",
+        "Receita executada de 2019+PIB+IPCA. Para 2021-2023 PIB+IPCA",
+        "S",
+    ),
+    "c15": (
+        "15. Transferências Correntes - Outras Transferências da União - FEX (Aux. Fom.Export) Tesouro",
+        "Legislação Federal - União interrompeu o envio da FEX",
+        "S",
+    ),
+    "c16": (
+        "16. Transferências Correntes - Transf. Financeiras do ICMS - Desoneração - L.C. N. 87/96",
+        "Legislação Federal",
+        "S",
+    ),
+    "c17": (
+        "17. Transferências Correntes - Outras Transferências Dir. Fundo Nacional do Desenv. da Educação - FNDE",
+        "Fevereiro de 2020 vezes 10 apenas para a parte de alimentação (PNAE). A de obras foi zerada por falta de visibilidade na receita.",
+        "S",
+    ),
+    "c17_budget": (
+        "17. Transferências Correntes - Outras Transferências Dir. Fundo Nacional do Desenv. da Educação - FNDE",
+        "Fevereiro de 2020 vezes 10 apenas para a parte de alimentação (PNAE). A de obras foi zerada por falta de visibilidade na receita.",
+        "S",
+    ),
+    "c18": (
+        "18. Transferências Correntes - Transferências do Salário-Educação",
+        "receita de 2019 + IPCA. Para 2021-2023 IPCA",
+        "S",
+    ),
+    "c19": (
+        "19. Transferências Correntes - Cota-Parte CIDE - Contrib. Intervenção no Domínio Econômico",
+        "Receita de 2019 corrigido pelo IPCA + PIB. Para 2021-2023 PIB+IPCA",
+        "S",
+    ),
+    "c20": (
+        "20. Transferências Correntes - Transferências de Recursos do FUNDEB",
+        "Receita de 2019+IPCA+PIB+EF+ previsão de que o coeficiente município/estado será estável nos próximos ano. Para 2021-2023 PIB+IPCA",
+        "S",
+    ),
+    "c21": (
+        "21. Transferências Correntes - Recursos da Saúde",
+        "Receita de 2019+PIB+IPCA. Para 2021-2023 PIB+IPCA",
+        "S",
+    ),
+    "c22": (
+        "22. Transferências Correntes - Convênios (transferências voluntárias)",
+        "Receita de 2019+IPCA. Para 2021-2023 IPCA",
+        "S",
+    ),
+    "c23": (
+        "23. Transferências Correntes - Outras Transferências",
+        "Receita de 2019+IPCA. Para 2021-2023 IPCA",
+        "S",
+    ),
+    "c24": (
+        "24. OUTRAS RECEITAS CORRENTES",
+        "Receita de 2019+IPCA. Para 2021-2023 IPCA",
+        "S",
+    ),
+    "c30": (
+        "30. Receitas intra-orçamentárias de contribuições",
+        "13 vezes receita de janeiro para 2020. Para 2021-2023 CVFS",
+        "N",
+    ),
+    "c31": (
+        "31. Receitas intra-orçamentárias patrimoniais",
+        "Receita de 2019+IPCA. Para 2021-2023 IPCA",
+        "N",
+    ),
+    "c32": (
+        "32. Receitas intra-orçamentárias de serviços",
+        "Receita de 2019+CVFS. Para 2021-2023 CVFS",
+        "N",
+    ),
+    "c32_budget": (
+        "32. Receitas intra-orçamentárias de serviços",
+        "Receita de 2019+CVFS. Para 2021-2023 CVFS",
+        "N",
+    ),
+    "c33": (
+        "33. Receitas intra-orçamentárias - outras receitas correntes\n",
+        "Receita de 2019+IPCA. Para 2021-2023 IPCA",
+        "N",
+    ),
+    "prodec": (
+        "24. OUTRAS RECEITAS CORRENTES",
+        "Informações do FADESC sobre arrecadação para 2020. Para o período 2021-2023 reajustado por PIB+IPCA",
+        "N",
+    ),
+    "capital_loans": (
+        "Operações de crédito",
+        "Informações da DICD sobre operações de crédito contratadas para os próximos 3 anos",
+        "N",
+    ),
+    "capital_disposals": (
+        "Alienação de bens",
+        "IPCA",
+        "N",
+    ),
+    "capital_amortisation": (
+        "Amortização de empréstimos",
+        "IPCA",
+        "N",
+    ),
+    "capital_transfers": (
+        "Transferências de capital ",
+        "IPCA",
+        "N",
+    ),
+    "capital_other": (
+        "Outras Receitas de Capital",
+        "IPCA",
+        "N",
+    ),
+}
+
+# Fixed values, stated a second time: pairs of an actual and a budget slice, and the prefix lists.
+PAIRS = {
+    "c03": ("c03a", "c03b"),
+    "c12b": ("c12b", "c12b_budget"),
+    "c17": ("c17", "c17_budget"),
+    "c32": ("c32", "c32_budget"),
+}
+RCL_PREFIXES = (
+    "1118021", "1118012", "1118013", "111303", "1118014", "112", "113", "13", "14", "15", "16", "1718011",
+    "1718061", "1718016", "17580111", "1718017", "1718018", "171802", "171803", "171812", "171805", "171807",
+    "1728", "173", "175899", "174", "176", "177", "17181", "19", "22200012",
+)
+RLI_PREFIXES = (
+    "1118021", "11180212", "11180214", "11180213", "11180131", "11180132", "11180133", "11180134", "11180121",
+    "11180122", "11180123", "11180124", "111303", "1718011", "171806", "1718016", "1718018",
+)
+
+
 # Parameters as doubles (the exponent keeps DuckDB from reading decimals).
-PARAMETERS = """
-given AS (SELECT
-  1.0305e0 AS ipca20, 1.0357e0 AS ipca21, 1.035e0 AS ipca22, 1.035e0 AS ipca23,
-  1.0002e0 AS pib20, 1.025e0 AS pib21, 1.025e0 AS pib22, 1.025e0 AS pib23,
-  1e0 AS ef20, 1.05e0 AS cvfs20, 1.05e0 AS cvfs21, 1.05e0 AS cvfs22, 1.05e0 AS cvfs23,
-  0.97e0 AS frota20, 1e0 AS covid20, 1e0 AS covid21, 1e0 AS covid22, 1e0 AS covid23,
-  0.065e0 AS selic19, 0.0375e0 AS selic20, 0.0525e0 AS selic21, 0.06e0 AS selic22, 0.0625e0 AS selic23),
+GIVEN = {
+    "ipca": {20: "1.0305", 21: "1.0357", 22: "1.035", 23: "1.035"},
+    "pib": {20: "1.0002", 21: "1.025", 22: "1.025", 23: "1.025"},
+    "ef": {20: "1", 21: "1", 22: "1", 23: "1"},
+    "cvfs": {20: "1.05", 21: "1.05", 22: "1.05", 23: "1.05"},
+    "frota": {20: "0.97"},
+    "covid": {20: "1", 21: "1", 22: "1", 23: "1"},
+    "selic": {19: "0.065", 20: "0.0375", 21: "0.0525", 22: "0.06", 23: "0.0625"},
+    "interno": {20: "262799084", 21: "512000000", 22: "550000000", 23: "0"},
+    "externo": {20: "37695571", 21: "0", 22: "0", 23: "0"},
+}
+REVISED = {
+    "ipca": {20: "1.031", 21: "1.042", 22: "1.053", 23: "1.064"},
+    "pib": {20: "1.011", 21: "1.022", 22: "1.033", 23: "1.044"},
+    "ef": {20: "1.071", 21: "1.082", 22: "1.093", 23: "1.104"},
+    "cvfs": {20: "1.115", 21: "1.126", 22: "1.137", 23: "1.148"},
+    "frota": {20: "0.96"},
+    "covid": {20: "0.91", 21: "0.92", 22: "0.93", 23: "0.94"},
+    "selic": {19: "0.061", 20: "0.052", 21: "0.043", 22: "0.074", 23: "0.085"},
+    "interno": {20: "15000000", 21: "16000000", 22: "17000000", 23: "18000000"},
+    "externo": {20: "11000000", 21: "12000000", 22: "13000000", 23: "14000000"},
+}
+
+
+def parameters(given: dict[str, dict[int, str]]) -> str:
+    values = ", ".join(f"{v}e0 AS {name}{year}" for name, years in given.items() for year, v in years.items())
+    return f"""
+given AS (SELECT {values}),
 par AS (SELECT *,
   ipca21 * pib21 * 0.97e0 AS frota21, ipca22 * pib22 * 0.97e0 AS frota22,
   ipca22 * pib22 * 0.97e0 AS frota23,
   selic21 / selic20 AS juros21, selic22 / selic21 AS juros22, selic23 / selic22 AS juros23
   FROM given)"""
 
+
 REVENUE_ACCOUNT = (
     "(contains(cod_conta_contabil, '521') OR regexp_matches(cod_conta_contabil, '^(62121|62131|62132)'))"
 )
@@ -163,43 +404,43 @@ FROM par
 UNION ALL
 SELECT '520099', '62121000000', '21', '0191000000', '2119001100', 'Espaço Fiscal', 2019,
   0e0, 0e0, 'Operações de crédito', 'Informações da GEDIP sobre espaço fiscal do Estado',
-  262799084e0, 512000000e0, 550000000e0, 0e0, 'N'
+  interno20, interno21, interno22, interno23, 'N' FROM par
 UNION ALL
 SELECT '520099', '62121000000', '21', '0192000000', '2128015100', 'BID/CAF/PROFISCO...', 2019,
-  0e0, 0e0, 'Operações de crédito', 'Informações da GEDIP', 37695571e0, 0e0, 0e0, 0e0, 'N'"""
+  0e0, 0e0, 'Operações de crédito', 'Informações da GEDIP', externo20, externo21, externo22, externo23, 'N' FROM par"""
 
 
 def slice_select(slice_id: str) -> str:
     condition, collected, scaling, budget, seed_year, seed, steps = SLICES[slice_id]
-    rule = rule_by_id(slice_id)
+    label, memo, ldo = TEXTS[slice_id]
     amount = "receita_arrecadada_liquida"
     return f"""
 SELECT {KEYS}, receita_arrecadada_liquida, receita_orcada_liquida,
-  {sql_text(rule.label)} AS nome_receita_ldo, {sql_text(rule.memo)} AS memoria_calculo,
+  {sql_text(label)} AS nome_receita_ldo, {sql_text(memo)} AS memoria_calculo,
   CASE WHEN num_ano = {seed_year} THEN cast({seed.replace('x', amount)} AS double) ELSE 0e0 END
     AS projecao_receita_arrecadada_liquida2020,
   projecao_receita_arrecadada_liquida2020 * {steps[0]} AS projecao_receita_arrecadada_liquida2021,
   projecao_receita_arrecadada_liquida2021 * {steps[1]} AS projecao_receita_arrecadada_liquida2022,
   projecao_receita_arrecadada_liquida2022 * {steps[2]} AS projecao_receita_arrecadada_liquida2023,
-  {sql_text(rule.ldo)} AS ldo
+  {sql_text(ldo)} AS ldo
 FROM (SELECT {KEYS}, {scaling.replace('x', 'bruto')} AS receita_arrecadada_liquida, receita_orcada_liquida
       FROM (SELECT {KEYS}, cast({collected} AS double) AS bruto,
               cast({budget} AS double) AS receita_orcada_liquida
             FROM fat WHERE {REVENUE_ACCOUNT} AND {condition} GROUP BY {KEYS}) AS grouped) AS scaled, par"""
 
 
-def with_fact(body: str, *more: str) -> str:
-    return "WITH " + ",".join([fact_sql(), PARAMETERS, *more]) + "\n" + body
+def with_fact(body: str, *more: str, given: dict[str, dict[int, str]] = GIVEN) -> str:
+    return "WITH " + ",".join([fact_sql(), parameters(given), *more]) + "\n" + body
 
 
 def all_slices() -> str:
     return "\nUNION ALL\n".join(slice_select(slice_id) for slice_id in SLICES)
 
 
-def with_stacked(body: str, *more: str) -> str:
+def with_stacked(body: str, *more: str, given: dict[str, dict[int, str]] = GIVEN) -> str:
     """Body over ``stacked``: all slices and the manual rows."""
     stacked = f"stacked AS MATERIALIZED ({all_slices()}\nUNION ALL\n{MANUAL_ROWS})"
-    return with_fact(body, stacked, *more)
+    return with_fact(body, stacked, *more, given=given)
 
 
 RELABELLED = "CASE WHEN starts_with(cod_conta_contabil, '621') THEN 2020 ELSE num_ano END AS num_ano"
@@ -223,7 +464,7 @@ DEFLATED = """
     AS "projecao2023aValoresDe2019\""""
 
 
-def consolidated() -> str:
+def consolidated(given: dict[str, dict[int, str]] = GIVEN) -> str:
     texts = "cod_unidade_gestora, cod_conta_contabil, cod_origem"
     return with_stacked(
         f"""
@@ -232,7 +473,8 @@ SELECT {KEYS}, receita_arrecadada_liquida AS valor_base, receita_orcada_liquida,
 FROM (SELECT {texts}, {ONE_FUND}, cod_detalhamento, nom_detalhamento, {RELABELLED},
         receita_arrecadada_liquida, receita_orcada_liquida, nome_receita_ldo, memoria_calculo,
         {PROJECTIONS}, ldo
-      FROM stacked) AS adjusted, par"""
+      FROM stacked) AS adjusted, par""",
+        given=given,
     )
 
 
@@ -254,25 +496,59 @@ FROM prefixes AS p""",
     )
 
 
-INDEX_ROWS = """
-SELECT 'IPCA' AS indicator, 2020 AS ref_year, ipca20 AS value FROM par
-UNION ALL SELECT 'IPCA', 2021, ipca21 FROM par UNION ALL SELECT 'IPCA', 2022, ipca22 FROM par
-UNION ALL SELECT 'IPCA', 2023, ipca23 FROM par
-UNION ALL SELECT 'PIB', 2020, pib20 FROM par UNION ALL SELECT 'PIB', 2021, pib21 FROM par
-UNION ALL SELECT 'PIB', 2022, pib22 FROM par UNION ALL SELECT 'PIB', 2023, pib23 FROM par
-UNION ALL SELECT 'CVFS', 2020, cvfs20 FROM par UNION ALL SELECT 'CVFS', 2021, cvfs21 FROM par
-UNION ALL SELECT 'CVFS', 2022, cvfs22 FROM par UNION ALL SELECT 'CVFS', 2023, cvfs23 FROM par
-UNION ALL SELECT 'ANFAVEA', 2020, frota20 FROM par UNION ALL SELECT 'ANFAVEA', 2021, frota21 FROM par
-UNION ALL SELECT 'ANFAVEA', 2022, frota22 FROM par UNION ALL SELECT 'ANFAVEA', 2023, frota23 FROM par"""
+INDEX_ROWS = "\nUNION ALL ".join(
+    f"SELECT '{indicator}' AS indicator, 20{year} AS ref_year, {name}{year} AS value FROM par"
+    for indicator, name in (
+        ("IPCA", "ipca"), ("PIB", "pib"), ("EF", "ef"), ("CVFS", "cvfs"), ("ANFAVEA", "frota"), ("COVID_EMPREGO", "covid"),
+    )
+    for year in (20, 21, 22, 23)
+)
 
 BY_ORIGIN = f"""
 SELECT num_ano, cod_origem, cast({NET_COLLECTED} AS double) AS receita_arrecadada_liquida
 FROM fat WHERE {REVENUE_ACCOUNT} GROUP BY num_ano, cod_origem"""
 
 
+GDP = """
+SELECT 2017 AS ref_year, 275400000000e0 AS nominal_gdp
+UNION ALL SELECT 2018, 298381000000e0 UNION ALL SELECT 2019, 317300000000e0
+UNION ALL SELECT 2020, 317300000000e0 * (pib20 * ipca20) FROM par
+UNION ALL SELECT 2021, 317300000000e0 * ((pib20 * ipca20) * (pib21 * ipca21)) FROM par
+UNION ALL SELECT 2022, 317300000000e0 * ((pib20 * ipca20) * (pib21 * ipca21) * (pib22 * ipca22)) FROM par
+UNION ALL SELECT 2023, 317300000000e0
+  * ((pib20 * ipca20) * (pib21 * ipca21) * (pib22 * ipca22) * (pib23 * ipca23)) FROM par"""
+GDP_KNOWN_LATER = """
+SELECT 2017 AS ref_year, 275400000000e0 AS nominal_gdp
+UNION ALL SELECT 2018, 298381000000e0 UNION ALL SELECT 2019, 317300000000e0
+UNION ALL SELECT 2020, 317300000000e0 * (pib20 * ipca20) FROM par
+UNION ALL SELECT 2021, 400000000000e0
+UNION ALL SELECT 2022, 400000000000e0 * (pib22 * ipca22) FROM par
+UNION ALL SELECT 2023, 400000000000e0 * ((pib22 * ipca22) * (pib23 * ipca23)) FROM par"""
+
+
+def gdp_beside_collection(gdp: str) -> str:
+    return with_fact(
+        f"""
+SELECT coalesce(g.ref_year, y.num_ano) AS ref_year, g.nominal_gdp, y.receita_arrecadada_liquida
+FROM ({gdp}) AS g
+FULL JOIN (SELECT num_ano, cast({NET_COLLECTED} AS double) AS receita_arrecadada_liquida
+           FROM fat WHERE {REVENUE_ACCOUNT} GROUP BY num_ano) AS y ON y.num_ano = g.ref_year"""
+    )
+
+
+def text_amounts() -> str:
+    sums = ", ".join(
+        f"cast(sum(cast({c} AS decimal(20,4)) + 0.0004) AS decimal(30,4)) AS {c}"
+        for c in ("val_receita_arrecadada", "val_receita_arrecadada_deducao", "val_receita_orcada",
+                  "val_receita_orcada_deducao")
+    )
+    return with_fact(f"SELECT {KEYS}, {sums} FROM fat GROUP BY {KEYS}")
+
+
 def statements() -> dict[str, str]:
     found = {
         "fact_scan": with_fact("SELECT * FROM fat"),
+        "fact_scan_text_amounts": text_amounts(),
         "account_filter": with_fact(f"SELECT * FROM fat WHERE {REVENUE_ACCOUNT}"),
         "locale_number_parse": with_fact(
             """
@@ -291,30 +567,19 @@ FROM fat WHERE {REVENUE_ACCOUNT} GROUP BY {KEYS}"""
         ),
         "macro_index": with_fact(
             f"""
-SELECT b.cod_origem, i.indicator, i.ref_year, i.value, b.receita_arrecadada_liquida * i.value AS valor_indexado
-FROM ({BY_ORIGIN}) AS b JOIN ({INDEX_ROWS}) AS i ON b.num_ano = 2019"""
-        ),
-        "nominal_gdp_chain": with_fact(
-            f"""
-SELECT g.ref_year, g.nominal_gdp, y.receita_arrecadada_liquida
-FROM (SELECT 2017 AS ref_year, 275400000000e0 AS nominal_gdp
-      UNION ALL SELECT 2018, 298381000000e0 UNION ALL SELECT 2019, 317300000000e0
-      UNION ALL SELECT 2020, 317300000000e0 * (pib20 * ipca20) FROM par
-      UNION ALL SELECT 2021, 317300000000e0 * ((pib20 * ipca20) * (pib21 * ipca21)) FROM par
-      UNION ALL SELECT 2022, 317300000000e0
-        * ((pib20 * ipca20) * (pib21 * ipca21) * (pib22 * ipca22)) FROM par
-      UNION ALL SELECT 2023, 317300000000e0
-        * ((pib20 * ipca20) * (pib21 * ipca21) * (pib22 * ipca22) * (pib23 * ipca23)) FROM par) AS g
-LEFT JOIN (SELECT num_ano, cast({NET_COLLECTED} AS double) AS receita_arrecadada_liquida
-           FROM fat WHERE {REVENUE_ACCOUNT} GROUP BY num_ano) AS y ON y.num_ano = g.ref_year"""
+SELECT b.cod_origem, b.num_ano, i.indicator, i.ref_year, i.value,
+  b.receita_arrecadada_liquida * i.value AS valor_indexado
+FROM ({BY_ORIGIN}) AS b CROSS JOIN ({INDEX_ROWS}) AS i"""
         ),
+        "nominal_gdp_chain": gdp_beside_collection(GDP),
+        "nominal_gdp_chain_revised": gdp_beside_collection(GDP_KNOWN_LATER),
         "selic_ratio": with_fact(
             f"""
 SELECT {KEYS}, r.ref_year, r.selic_ratio, receita_arrecadada_liquida * r.selic_ratio AS valor_corrigido
 FROM ({slice_select('c08')}) AS c
 JOIN (SELECT 2020 AS ref_year, selic20 / selic19 AS selic_ratio FROM par
       UNION ALL SELECT 2021, juros21 FROM par UNION ALL SELECT 2022, juros22 FROM par
-      UNION ALL SELECT 2023, juros23 FROM par) AS r ON c.num_ano = 2019"""
+      UNION ALL SELECT 2023, juros23 FROM par) AS r ON true"""
         ),
         "all_slices_single_pass": with_fact(all_slices()),
         "union_with_manual_rows": with_stacked(f"SELECT {STACKED} FROM stacked"),
@@ -335,10 +600,11 @@ JOIN (SELECT 2020 AS ref_year, selic20 / selic19 AS selic_ratio FROM par
         "flag_audit_counts": audit(),
         "deflate_2019": with_stacked(f"SELECT {KEYS}, nome_receita_ldo, {DEFLATED} FROM stacked, par"),
         "revenue_projection": consolidated(),
+        "revenue_projection_revised_parameters": consolidated(REVISED),
         "publish_parquet_readback": consolidated(),
     }
     for slice_id in SLICES:
         found[f"slice_{slice_id}"] = with_fact(slice_select(slice_id))
-    for name, pair in STACKED_PAIRS.items():
+    for name, pair in PAIRS.items():
         found[f"stacked_{name}"] = with_fact("\nUNION ALL\n".join(slice_select(part) for part in pair))
     return found

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from decimal import Decimal
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +21,34 @@ from fiscus.plans.projection_plan import (
 )
 from fiscus.schema import (
     ACCOUNT, BUDGETED, BUDGETED_DEDUCTION, COLLECTED, COLLECTED_DEDUCTION, FUND, FUND_TYPE, KEYS, LABEL,
-    MONTH, NATURE, NET_BUDGET, NET_COLLECTED, ORIGIN, RCL, RLI, SHORT_FUND, UPDATED_AT, YEAR,
+    MEASURES, MONTH, NATURE, NET_BUDGET, NET_COLLECTED, ORIGIN, RCL, RLI, SHORT_FUND, UPDATED_AT, YEAR,
 )
+from fiscus.shared import new_folder
 from fiscus.sinks.publish import publish_parquet
+from fiscus.sources.fact import conform_fact
 from fiscus.sources.parameters import Parameters, macro_index, nominal_gdp, selic_growth
 from testbed.lineitem_fact import fact_from_lineitem
 
 PARAMETERS = Parameters.default()
+GROWTH_INDICATORS = ("IPCA", "PIB", "EF", "CVFS", "ANFAVEA", "COVID_EMPREGO")
+GDP_KNOWN_LATER = PARAMETERS.replace({("PIB_SC", 2021): 400e9})
+
+# Every indicator different from every other in every year.
+REVISED = Parameters.of(
+    {
+        "IPCA": {2020: 1.031, 2021: 1.042, 2022: 1.053, 2023: 1.064},
+        "PIB": {2020: 1.011, 2021: 1.022, 2022: 1.033, 2023: 1.044},
+        "EF": {2020: 1.071, 2021: 1.082, 2022: 1.093, 2023: 1.104},
+        "CVFS": {2020: 1.115, 2021: 1.126, 2022: 1.137, 2023: 1.148},
+        "ANFAVEA": {2020: 0.96},
+        "SELIC": {2019: 0.061, 2020: 0.052, 2021: 0.043, 2022: 0.074, 2023: 0.085},
+        "FX": {2019: 4.11, 2020: 4.22, 2021: 4.33, 2022: 4.44, 2023: 4.55},
+        "COVID_EMPREGO": {2020: 0.91, 2021: 0.92, 2022: 0.93, 2023: 0.94},
+        "INGRESSO_EXTERNO": {2020: 11000000.0, 2021: 12000000.0, 2022: 13000000.0, 2023: 14000000.0},
+        "INGRESSO_INTERNO": {2020: 15000000.0, 2021: 16000000.0, 2022: 17000000.0, 2023: 18000000.0},
+        "PIB_SC": {2017: 275000000000.0, 2018: 298000000000.0, 2019: 317000000000.0},
+    }
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,36 +85,35 @@ def net_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def for_each_projected_year(base_rows: DataFrame) -> DataFrame:
-    """Base-year rows, once for each projected year."""
+def for_each_projected_year(rows: DataFrame) -> DataFrame:
+    """Every row, once for each projected year."""
     years = F.array(*[F.lit(year) for year in DEFAULT_HORIZON.years])
-    return base_rows.filter(F.col(YEAR) == DEFAULT_HORIZON.base_year).withColumn("ref_year", F.explode(years))
+    return rows.withColumn("ref_year", F.explode(years))
 
 
-def indexed_base_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base-year collection by origin, moved by each growth index of each projected year."""
+def indexed_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collection by origin and year, moved by each growth index of each projected year."""
     collected = for_each_projected_year(yearly_collection(fact_from_lineitem(spark, sf_dir), ORIGIN))
-    growth = F.col("indicator").isin("IPCA", "PIB", "CVFS", "ANFAVEA")
-    indices = macro_index(spark, PARAMETERS).filter(growth)
+    indices = macro_index(spark, PARAMETERS).filter(F.col("indicator").isin(*GROWTH_INDICATORS))
     # One row per indicator and parameter year, whatever the size of the fact table.
     return collected.join(F.broadcast(indices), "ref_year").select(
-        ORIGIN, "indicator", "ref_year", "value",
+        ORIGIN, YEAR, "indicator", "ref_year", "value",
         (F.col(NET_COLLECTED) * F.col("value")).alias("valor_indexado"),
     )
 
 
-def nominal_gdp_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nominal product of each parameter year beside the collection of that year, where there is one."""
+def gdp_beside_collection(parameters: Parameters, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nominal product and collection of every parameter year and every fact year."""
     collected = yearly_collection(fact_from_lineitem(spark, sf_dir)).withColumnRenamed(YEAR, "ref_year")
     return (
-        nominal_gdp(macro_index(spark, PARAMETERS))
-        .join(collected, "ref_year", "left")
+        nominal_gdp(macro_index(spark, parameters))
+        .join(collected, "ref_year", "full")
         .select("ref_year", "nominal_gdp", NET_COLLECTED)
     )
 
 
 def selic_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base-year groups of financial income, moved by each year's change of the interest rate."""
+    """Groups of financial income of all years, moved by each year's change of the interest rate."""
     income = category_slice(fact_from_lineitem(spark, sf_dir), rule_by_id("c08")).select(*KEYS, NET_COLLECTED)
     growth = selic_growth(macro_index(spark, PARAMETERS))
     # One row per parameter year, whatever the size of the fact table.
@@ -103,6 +123,18 @@ def selic_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts stored as text with decimal comma and four decimals, read back and summed by key."""
+    fact = fact_from_lineitem(spark, sf_dir)
+    finer = {c: F.col(c).cast("decimal(20,4)") + F.lit(Decimal("0.0004")) for c in MEASURES}
+    texts = {c: F.replace(amount.cast("string"), F.lit("."), F.lit(",")) for c, amount in finer.items()}
+    return (
+        conform_fact(fact.withColumns(texts))
+        .groupBy(*KEYS)
+        .agg(*[F.sum(c).cast("decimal(30,4)").alias(c) for c in MEASURES])
+    )
+
+
 def one_slice(slice_id: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return category_slice(fact_from_lineitem(spark, sf_dir), rule_by_id(slice_id))
 
@@ -164,13 +196,13 @@ def revenue_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def publish_parquet_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Publish the stamped result to the session's shared folder and read it back without the stamp."""
-    folder = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "published")
     return publish_parquet(publishable_revenue(revenue_projection(spark, sf_dir)), folder).drop(UPDATED_AT)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; only a session without one falls back to a local folder."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/fiscus-shared"
+def revised_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projection with every indicator different in every year, so that no factor can stand in for another."""
+    return project_revenue(fact_from_lineitem(spark, sf_dir), REVISED)
 
 
 def queries() -> dict[str, Query]:
@@ -179,8 +211,10 @@ def queries() -> dict[str, Query]:
         "account_filter": account_filter,
         "locale_number_parse": locale_number_parse,
         "net_aggregate": net_aggregate,
-        "macro_index": indexed_base_year,
-        "nominal_gdp_chain": nominal_gdp_chain,
+        "fact_scan_text_amounts": text_amounts,
+        "macro_index": indexed_collection,
+        "nominal_gdp_chain": partial(gdp_beside_collection, PARAMETERS),
+        "nominal_gdp_chain_revised": partial(gdp_beside_collection, GDP_KNOWN_LATER),
         "selic_ratio": selic_ratio,
         "all_slices_single_pass": all_slices_single_pass,
         "union_with_manual_rows": union_with_manual_rows,
@@ -192,6 +226,7 @@ def queries() -> dict[str, Query]:
         "flag_audit_counts": audit_counts,
         "deflate_2019": constant_prices,
         "revenue_projection": revenue_projection,
+        "revenue_projection_revised_parameters": revised_projection,
         "publish_parquet_readback": publish_parquet_readback,
     }
     for rule in CATALOGUE:

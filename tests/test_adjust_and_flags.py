@@ -4,11 +4,12 @@ import pytest
 
 from fiscus.operators.adjust import consolidate_fund, deflate, derive_codes, relabel_year
 from fiscus.operators.flags import (
-    RCL_PREFIXES, RLI_EXCLUDED_ACCOUNTS, RLI_PREFIXES, flag_audit, flag_rcl, flag_rli,
+    RLI_EXCLUDED_ACCOUNTS, flag_audit, flag_rcl, flag_rli,
 )
 from fiscus.plans.projection_plan import project_revenue
 from fiscus.schema import Horizon
 from fiscus.sources.parameters import Parameters
+from testbed.oracle import RCL_PREFIXES, RLI_PREFIXES
 from tests.conftest import fact_row, make_fact
 
 
