@@ -27,13 +27,16 @@ from tokenizers import Tokenizer
 from fiscus.llm.pretokens import Memo, byte_level_pretokens, sections, spaced_chunks, special_pattern
 from fiscus.shared import stored
 
-FREQUENT = 500_000
+FREQUENT = 1_000_000
 FREQUENT_CHARS = 64  # longer pre-tokens are never broadcast, so the table's bytes are bounded too
 MEMO_CHUNKS = 300_000
-DISTINCT_IN_TASK = 200_000
+DISTINCT_IN_TASK = 400_000
+TEXTS_AT_ONCE = 512
 
 
 class PretokenCounter:
+    """Cuts texts into pre-tokens and counts the pieces of pre-tokens."""
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
@@ -43,20 +46,45 @@ class PretokenCounter:
         self.chunks = Memo(byte_level_pretokens, MEMO_CHUNKS)
         self.spaced = Memo(lambda chunk: byte_level_pretokens(" " + chunk), MEMO_CHUNKS)
 
-    def frequencies(self, text: str) -> Counter:
-        """How often each pre-token occurs; special strings are pre-tokens of their own."""
-        found: Counter = Counter()
+    def chunks_of(self, text: str, plain: list[str], spaced: list[str], special: list[str]) -> None:
+        """Sort the text's parts into chunks, chunks after a single space, and special strings."""
         for section in sections(text, self.special):
             if section in self.names:
-                found[section] += 1
-                continue
-            first, rest = spaced_chunks(section)
-            for memo, chunks in ((self.chunks, first), (self.spaced, rest)):
-                for chunk, n in Counter(chunks).items():
-                    for pretoken in memo[chunk]:
-                        found[pretoken] += n
+                special.append(section)
+            else:
+                first, rest = spaced_chunks(section)
+                plain += first
+                spaced += rest
+
+    def frequencies(self, texts: list[str]) -> Counter:
+        """How often each pre-token occurs; special strings are pre-tokens of their own."""
+        plain: list[str] = []
+        spaced: list[str] = []
+        special: list[str] = []
+        for text in texts:
+            self.chunks_of(text, plain, spaced, special)
+        found = Counter(special)
+        for memo, chunks in ((self.chunks, plain), (self.spaced, spaced)):
+            for chunk, n in Counter(chunks).items():
+                for pretoken in memo[chunk]:
+                    found[pretoken] += n
         return found
 
+    def split_frequencies(self, text: str, known: KnownPieces) -> tuple[int, Counter]:
+        """Pieces of all known pre-tokens of a text, and the frequencies of the others."""
+        plain: list[str] = []
+        spaced: list[str] = []
+        special: list[str] = []
+        self.chunks_of(text, plain, spaced, special)
+        sure, rare = len(special), Counter()
+        for memo, chunks in ((known.chunks, plain), (known.spaced, spaced)):
+            for chunk, n in Counter(chunks).items():
+                each, others = memo[chunk]
+                sure += n * each
+                for pretoken in others:
+                    rare[pretoken] += n
+        return sure, rare
+
     def pieces(self, pretokens: list[str]) -> list[int]:
         """Pieces of each pre-token, encoded in one call with a special string between them."""
         if not self.separator:
@@ -68,6 +96,19 @@ class PretokenCounter:
         return [1 if p in self.names else next(lengths) for p in pretokens]
 
 
+class KnownPieces:
+    """For each chunk: the pieces of its known pre-tokens, and its other pre-tokens."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.pieces = pieces
+        self.chunks = Memo(lambda chunk: self._split(byte_level_pretokens(chunk)), MEMO_CHUNKS)
+        self.spaced = Memo(lambda chunk: self._split(byte_level_pretokens(" " + chunk)), MEMO_CHUNKS)
+
+    def _split(self, pretokens: list[str]) -> tuple[int, tuple[str, ...]]:
+        pieces = self.pieces
+        return sum(pieces.get(p, 0) for p in pretokens), tuple(p for p in pretokens if p not in pieces)
+
+
 def _runs(ids: list[int], between: int) -> Iterator[int]:
     run = 0
     for i in ids:
@@ -92,8 +133,9 @@ def pretoken_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFr
         own = counter(path)
         seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(own.frequencies(text or ""))
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                texts = batch.column(0).slice(at, TEXTS_AT_ONCE).to_pylist()
+                seen.update(own.frequencies([text or "" for text in texts]))
                 if len(seen) >= DISTINCT_IN_TASK:
                     yield _counted(seen)
                     seen = Counter()
@@ -140,27 +182,25 @@ def count_tokens(
             (F.col("occurrences") * FREQUENT >= total) & (F.length("pretoken") <= FREQUENT_CHARS)
         ).toLocalIterator()
     }
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
+    broadcast = docs.sparkSession.sparkContext.broadcast(frequent)
+    # Only where ids repeat does a text need a mark of its own beside its id.
+    marked = not docs.groupBy(id_col).count().filter("count > 1").isEmpty()
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each rare pre-token of a text; the first carries what is already known of the text.
 
         A text without rare pre-tokens gets one that no text has, so that it passes the join as well.
         """
-        own, pieces = counter(path), known.value
+        own, known = counter(path), KnownPieces(broadcast.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             row, marks, names, times, sums, sizes = [], [], [], [], [], []
             for k, text in enumerate(texts):
                 raw = (text or "").encode()
                 mark = xxhash.xxh3_64_intdigest(raw) - 2**63
-                sure, rare = 0, []
-                for pretoken, n in own.frequencies(text or "").items():
-                    if (each := pieces.get(pretoken)) is None:
-                        rare.append((pretoken, n))
-                    else:
-                        sure += n * each
-                rare = rare or [(f"\0{mark % 4096}", 0)]
+                sure, others = own.split_frequencies(text or "", known)
+                rare = list(others.items()) or [(f"\0{mark % 4096}", 0)]
+                mark = mark if marked else 0
                 row += [k] * len(rare)
                 marks += [mark] * len(rare)
                 names += [r[0] for r in rare]
