@@ -1,7 +1,8 @@
 """Time the headline queries and print one JSON line.
 
 ``BENCH_SF_DIR`` names the folder of the test tables, ``BENCH_CPUS`` the
-local threads. Times are medians of warm runs into a sink that discards rows,
+local threads. ``BENCH_SCALE_TIMES`` (0: left out) stores the fact table that
+many times over and projects it once, to see how work grows with rows. Times are medians of warm runs into a sink that discards rows,
 from building the frame to the last row.
 """
 
@@ -12,17 +13,21 @@ import os
 import statistics
 import sys
 import time
-import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 from fiscus import project_revenue  # noqa: E402
+from fiscus.operators.aggregate import reduce_fact  # noqa: E402
+from fiscus.plans.catalogue import CATALOGUE  # noqa: E402
+from fiscus.schema import Horizon  # noqa: E402
+from fiscus.shared import new_folder  # noqa: E402
 from fiscus.sources.fact import read_fact_parquet  # noqa: E402
 from testbed.lineitem_fact import fact_from_lineitem  # noqa: E402
-from testbed.queries import all_slices_one_by_one, queries, shared_folder  # noqa: E402
+from testbed.queries import all_slices_one_by_one, queries  # noqa: E402
 
 HEADLINE = [
     "revenue_projection",
@@ -47,6 +52,20 @@ def median_of_warm_runs(run, runs: int = WARM_RUNS) -> float:
     return round(statistics.median(seconds(run) for _ in range(runs)), 3)
 
 
+def scale_check(spark: SparkSession, sf_dir: str, times: int) -> dict:
+    """Seconds of one projection over the stored fact taken ``times`` times, and rows through its first shuffle."""
+    folder = new_folder(spark, "bench-scale")
+    fact = fact_from_lineitem(spark, sf_dir).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    fact.drop("copy").write.partitionBy("num_ano").parquet(folder)
+    large = read_fact_parquet(spark, folder)
+    return {
+        "times": times,
+        "fact_rows": large.count(),
+        "projection_seconds": round(seconds(lambda: project_revenue(large)), 3),
+        "reduced_rows": reduce_fact(large, CATALOGUE, Horizon()).count(),
+    }
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -67,13 +86,16 @@ def main() -> None:
         name: median_of_warm_runs(lambda name=name: registered[name](spark, sf_dir)) for name in HEADLINE
     }
 
-    stored = f"{shared_folder(spark)}/bench-fact-{uuid.uuid4().hex}"
+    stored = new_folder(spark, "bench-fact")
     fact_from_lineitem(spark, sf_dir).repartition(int(cpus)).write.partitionBy("num_ano").parquet(stored)
     times["revenue_projection_stored_fact"] = median_of_warm_runs(
         lambda: project_revenue(read_fact_parquet(spark, stored))
     )
     one_by_one = round(seconds(lambda: all_slices_one_by_one(spark, sf_dir)), 3)
 
+    times_over = int(os.environ.get("BENCH_SCALE_TIMES", "0"))
+    scale = {"scale": scale_check(spark, sf_dir, times_over)} if times_over else {}
+
     print(
         json.dumps(
             {
@@ -88,6 +110,7 @@ def main() -> None:
                     "scans": {"all_slices_single_pass": 1, "all_slices_one_by_one": 40},
                 },
             }
+            | scale
         )
     )
     spark.stop()
