@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscus.llm.exact_dedup import deduplicate_batch
+from fiscus.llm.marks import IdMarks
 from fiscus.llm.near_dedup import near_duplicates
 from fiscus.llm.packing import pack
 from fiscus.llm.paragraph_dedup import remove_repeats
@@ -37,8 +38,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; documents without an id stay."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(near_duplicates(docs).filter("not kept").select("doc_id"), "near-copies")
+    # Only documents that may go are joined; the texts of the others are not shuffled.
+    marked = IdMarks(gone, "doc_id").column(F.col("doc_id"))
+    unsure = docs.filter(marked).join(gone, "doc_id", "left_anti")
+    return unsure.select(*docs.columns).union(docs.filter(~marked))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

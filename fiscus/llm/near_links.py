@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscus.llm.components import components
+from fiscus.llm.marks import IdMarks
 from fiscus.llm.signatures import Scheme, shingles, sketch_words
 from fiscus.shared import stored
 
 BLOCK = 256
+PAIRS_PER_MEMBER = 4
 
 
 def signed(units: DataFrame, scheme: Scheme) -> DataFrame:
@@ -63,17 +65,18 @@ def signed(units: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def shingle_sets(units: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id`` and ``shingle_set`` of the units whose id is in ``wanted``."""
+    """``id`` and ``shingle_set`` of all units whose id is in ``wanted``, and of a few others; no text is shuffled."""
+    marks = IdMarks(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(text).tobytes() for text in batch.column(1).to_pylist()]
+            chosen = batch.filter(pa.array(marks.hits(batch.column(0).to_numpy(zero_copy_only=False))))
+            found = [shingles(text).tobytes() for text in chosen.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.binary())], names=["id", "shingle_set"]
+                [chosen.column(0), pa.array(found, pa.binary())], names=["id", "shingle_set"]
             )
 
-    chosen = units.select("id", "text").join(wanted.select("id").distinct(), "id", "left_semi")
-    return chosen.mapInArrow(sets, "id long, shingle_set binary")
+    return units.select("id", "text").mapInArrow(sets, "id long, shingle_set binary")
 
 
 def buckets(nodes: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -114,7 +117,7 @@ def sifted(links: DataFrame, signatures: DataFrame, scheme: Scheme) -> DataFrame
             names = ("n_a", "n_b", "sketch_a", "sketch_b")
             n_a, n_b, s_a, s_b = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
             odd = np.bitwise_count(sketch_words(s_a) ^ sketch_words(s_b)).sum(axis=1)
-            keep = scheme.sizes_agree(np.array(n_a), np.array(n_b)) & (odd <= scheme.most_odd_bits)
+            keep = scheme.sizes_agree(np.array(n_a), np.array(n_b)) & scheme.may_be_similar(odd)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     own = signatures.select("id", "n_shingles", "sketch")
@@ -195,17 +198,32 @@ def _candidates(group: pd.DataFrame, scheme: Scheme) -> np.ndarray:
     for word in sketches.T:
         odd += np.bitwise_count(word[:, None] ^ word[None, :])
     return (
-        (odd <= scheme.most_odd_bits)
+        scheme.may_be_similar(odd)
         & (parts[:, None] != parts[None, :])
         & scheme.sizes_agree(sizes[:, None], sizes[None, :])
     )
 
 
 def links_across_groups(units: DataFrame, blocks: DataFrame, signatures: DataFrame, scheme: Scheme) -> DataFrame:
-    """Confirmed links between members of different groups; enough of them to join whatever belongs together."""
+    """Confirmed links between members of different groups; enough of them to join whatever belongs together.
+
+    Where sketches leave few pairs of two blocks, the pairs are sent: the same
+    pair comes from many buckets and is confirmed once. Where they leave many,
+    the members are sent and compared in place, so what is sent stays in proportion to the members.
+    """
 
     def possible(group: pd.DataFrame) -> pd.DataFrame:
-        return group.loc[_candidates(group, scheme).any(axis=1), ["key", "i", "j", "id", "component", "n_shingles", "sketch"]]
+        group = group.reset_index(drop=True)
+        candidates = _candidates(group, scheme)
+        x, y = np.nonzero(np.triu(candidates))
+        ids, parts = group["id"].to_numpy(), group["component"].to_numpy()
+        if len(x) <= PAIRS_PER_MEMBER * len(group):
+            ends = np.sort(np.stack([ids[x], ids[y]]), axis=0)
+            found = pd.DataFrame({"a": ends[0], "b": pd.array(ends[1], "Int64"), "component": parts[x]})
+        else:
+            left = candidates.any(axis=1)
+            found = pd.DataFrame({"a": ids[left], "b": pd.array([None] * left.sum(), "Int64"), "component": parts[left]})
+        return found.assign(**{name: group[name].iloc[0] for name in ("key", "i", "j")})
 
     def joining(group: pd.DataFrame) -> pd.DataFrame:
         group = group.reset_index(drop=True)
@@ -220,28 +238,37 @@ def links_across_groups(units: DataFrame, blocks: DataFrame, signatures: DataFra
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     own = signatures.select("id", "n_shingles", "sketch")
-    columns = "key long, i int, j int, id long, component long, n_shingles long, sketch binary"
     left = stored(
         blocks.join(own, "id").select("key", "i", "j", "id", "component", "n_shingles", "sketch")
-        .groupBy("key", "i", "j").applyInPandas(possible, columns),
-        "open-members",
+        .groupBy("key", "i", "j")
+        .applyInPandas(possible, "a long, b long, component long, key long, i int, j int"),
+        "open-pairs",
     )
     if left.isEmpty():
-        return left.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    sets = shingle_sets(units, left)
-    return left.join(sets, "id").groupBy("key", "i", "j").applyInPandas(joining, "a long, b long")
+        return left.select("a", "b")
+    pairs = left.filter("b is not null").select("a", "b").distinct()
+    dense = left.filter("b is null").withColumnRenamed("a", "id").drop("b")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense.select("id")).distinct()
+    sets = stored(shingle_sets(units, wanted), "shingle-sets")
+    links = confirmed(pairs, sets, scheme)
+    if dense.isEmpty():
+        return links
+    return links.union(
+        dense.join(own, "id").join(sets, "id").groupBy("key", "i", "j").applyInPandas(joining, "a long, b long")
+    )
 
 
-def near_groups(units: DataFrame, scheme: Scheme) -> DataFrame:
+def near_groups(units: DataFrame, scheme: Scheme, unique_ids: bool = False) -> DataFrame:
     """``id``, ``n_shingles`` and ``component`` of every unit (``id`` not null, ``text``).
 
     ``component`` is the smallest id that confirmed links and equal sets
     reach; a unit without words is alone. Rows that repeat an id are one unit
-    with the greatest of its texts, and there is one result row for each of them.
+    with the greatest of its texts, and there is one result row for each of
+    them; ``unique_ids`` says that there are none.
     """
-    if not units.groupBy("id").count().filter("count > 1").isEmpty():
+    if not unique_ids and not units.groupBy("id").count().filter("count > 1").isEmpty():
         single = stored(units.groupBy("id").agg(F.max("text").alias("text")), "units")
-        return units.select("id").join(near_groups(single, scheme), "id")
+        return units.select("id").join(near_groups(single, scheme, unique_ids=True), "id")
     signatures = stored(signed(units, scheme), "signatures")
     equal = signatures.filter("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("node"))
     nodes = stored(

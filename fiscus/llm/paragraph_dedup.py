@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiscus.llm.marks import IdMarks
 from fiscus.llm.near_links import near_groups
 from fiscus.llm.signatures import Scheme
+from fiscus.shared import stored
 
 MIN_WORDS = 20
 POSITION_BITS = 24
@@ -61,8 +63,8 @@ def remove_repeats(
         mark = F.xxhash64("text")
         mixed_up = plain.groupBy("doc").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high")
         plain = plain.join(mixed_up, "doc", "left_anti").dropDuplicates(["doc"])
-    groups = near_groups(paragraphs(plain, min_words), scheme)
-    changes = (
+    groups = near_groups(paragraphs(plain, min_words), scheme, unique_ids=True)
+    changes = stored(
         groups.filter("id <> component")
         .select(
             F.shiftright("id", POSITION_BITS).alias("doc"),
@@ -74,13 +76,17 @@ def remove_repeats(
             F.sort_array(F.collect_list("position")).alias("removed"),
             F.sort_array(F.collect_set("keep_doc_id")).alias("keep_doc_ids"),
         )
-        .withColumnRenamed("doc", "changed_doc")
+        .withColumnRenamed("doc", "changed_doc"),
+        "removed-paragraphs",
     )
     lines = F.split(F.col(text_col), "\n")
     left = F.array_join(F.filter(lines, lambda line, at: ~F.array_contains("removed", at)), "\n")
     none = F.array().cast("array<int>"), F.array().cast("array<long>")
+    # Only documents that may lose something are joined; the texts of the others are not shuffled.
+    marked = IdMarks(changes, "changed_doc").column(F.col(id_col))
+    joined = docs.filter(marked).join(changes, F.col(id_col).cast("long") == F.col("changed_doc"), "left")
     return (
-        docs.join(changes, F.col(id_col).cast("long") == F.col("changed_doc"), "left")
+        joined.unionByName(docs.filter(~marked), allowMissingColumns=True)
         .withColumn("n_paragraphs", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)))
         .withColumn(text_col, F.when(F.col("removed").isNotNull(), left).otherwise(F.col(text_col)))
         .withColumn("removed", F.coalesce("removed", none[0]))

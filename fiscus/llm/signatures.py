@@ -69,19 +69,23 @@ class Scheme:
 
     @cached_property
     def most_odd_bits(self) -> int:
-        """Sketches of similar sets differ in more bits at most once in a thousand million pairs.
+        """Sketches of a pair at the wanted similarity differ in more bits once in a hundred million times.
 
-        Each sample that differs changes two bits at most, and at the wanted
-        similarity the number of such samples is binomial.
+        The number of samples that differ is binomial; each throws two bits at
+        random places, and the bits that are hit an odd number of times remain.
         """
         samples, p = self.bands * self.rows, 1 - self.percent / 100
-        tail, most = 0.0, samples
-        while most > 0:
-            tail += math.comb(samples, most) * p**most * (1 - p) ** (samples - most)
-            if tail > 1e-9:
-                return min(2 * most, self.bits)
-            most -= 1
-        return 0
+        odd = np.zeros(self.bits + 1)
+        odd[0] = 1.0
+        share = np.arange(self.bits + 1) / self.bits
+        mixture = np.zeros(self.bits + 1)
+        for differing in range(samples + 1):
+            mixture += math.comb(samples, differing) * p**differing * (1 - p) ** (samples - differing) * odd
+            for _ in range(2):
+                up, down = odd * (1 - share), odd * share
+                odd = np.concatenate([[0.0], up[:-1]]) + np.concatenate([down[1:], [0.0]])
+        tails = np.cumsum(mixture[::-1])[::-1]
+        return int(np.flatnonzero(tails > 1e-8)[-1])
 
     def samples(self, found: np.ndarray) -> np.ndarray:
         least = np.full(len(self._factors), np.iinfo(np.uint64).max, np.uint64)
@@ -104,6 +108,9 @@ class Scheme:
         parity = np.bincount(places.astype(np.int64), minlength=self.bits) & 1
         return np.packbits(parity.astype(np.uint8)).tobytes()
 
+    def may_be_similar(self, odd_bits: np.ndarray) -> np.ndarray:
+        return odd_bits <= self.most_odd_bits
+
     def sizes_agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
 
