@@ -8,8 +8,8 @@ Only the groups are wanted, so no pairs within a bucket are ever listed:
    these links, full sets confirm them, and confirmed ones make first groups.
 3. Buckets whose members are all in one group are done. In the others, members
    of different groups are compared in blocks: the sketches of two blocks at
-   a time, and the full sets of what they let through. A task sends the links
-   that join groups, never more than it has members.
+   a time, and the full sets of what they let through. What a task sends on stays in
+   proportion to its members.
 
 Blocks bound the memory of a task, and pairs of blocks within one group are left out, so
 a bucket of many copies costs its size, not the square of it.
@@ -80,12 +80,15 @@ def shingle_sets(units: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def buckets(nodes: DataFrame, signatures: DataFrame) -> DataFrame:
-    """``key`` and ``id`` of all buckets with at least two nodes; ``nodes`` maps each ``id`` to its ``node``."""
+    """``key`` and ``id`` of all buckets with at least two nodes; ``nodes`` maps each ``id`` to its ``node``.
+
+    Most keys occur once; a bitmap of the shared ones leaves their rows out of the second shuffle.
+    """
     rows = signatures.select("id", F.explode("keys").alias("key"))
-    shared = (
-        rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
-    )
-    members = rows.join(shared, "key").join(nodes, "id").select("key", F.col("node").alias("id")).distinct()
+    extremes = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    shared = stored(extremes.filter("low <> high").select("key"), "shared-keys")
+    likely = rows.filter(IdMarks(shared, "key").column(F.col("key")))
+    members = likely.join(shared, "key").join(nodes, "id").select("key", F.col("node").alias("id")).distinct()
     return stored(members, "buckets")
 
 

@@ -1,0 +1,165 @@
+"""Near dedup, passage dedup and top-k against brute force, with hot groups and odd rows."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from fiscus.llm import marks, near_links
+from fiscus.llm.components import components
+from fiscus.llm.marks import IdMarks
+from fiscus.llm.near_dedup import near_duplicates
+from fiscus.llm.paragraph_dedup import remove_repeats
+from fiscus.llm.signatures import Scheme
+from fiscus.llm.topk import top_k
+from tests.llm import reference_results
+
+
+def varied(words, changes, draw):
+    words = list(words)
+    for _ in range(changes):
+        words[draw.randrange(len(words))] = f"new{draw.randrange(10**6)}"
+    return " ".join(words)
+
+
+def family(size, length, most_changes, seed):
+    """Copies of one text, each with some words changed; many pairs lie around the limit."""
+    draw = random.Random(seed)
+    base = [f"w{draw.randrange(500)}" for _ in range(length)]
+    return [varied(base, draw.randint(0, most_changes), draw) for _ in range(size)]
+
+
+def documents():
+    texts = family(40, 90, 3, 1) + family(30, 60, 2, 2) + family(25, 200, 12, 3) + ["same words here"] * 12
+    texts += ["", None, " \n", "one", "One", "a b c d", "a  b c D", "a b c d e", "x" * 20000]
+    draw = random.Random(9)
+    draw.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize(("block", "pairs"), [(256, 4), (8, 4), (8, 0)])
+def test_groups_equal_brute_force(spark, monkeypatch, block, pairs):
+    monkeypatch.setattr(near_links, "BLOCK", block)
+    monkeypatch.setattr(near_links, "PAIRS_PER_MEMBER", pairs)
+    texts = documents()
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("n_shingles", F.lit("clash"))
+    found = near_duplicates(frame).collect()
+    assert {r.doc_id: r.component_id for r in found} == reference_results.groups(texts, 85)
+    assert all(r.n_shingles == len(reference_results.shingle_set(texts[r.doc_id])) for r in found)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
+def test_links_are_found_without_the_hub(spark):
+    """Two chains whose middle members meet the hub's bucket but are only similar to each other."""
+    draw = random.Random(4)
+    base = [f"w{n}" for n in range(100)]
+    chain = []
+    for step in range(12):
+        base = list(base)
+        base[(7 * step) % 100] = f"c{step}"
+        chain.append(" ".join(base))
+    texts = dict(enumerate(chain + [varied(base, 9, draw) for _ in range(20)]))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_duplicates(frame).collect()}
+    assert found == reference_results.groups(texts, 85)
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "z"), (3, None), (None, "a b c d e f")]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found if r.doc_id is not None) == [
+        (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True)
+    ]
+    assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(None, True)]
+    assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sketch_limit_lets_similar_pairs_pass():
+    scheme = Scheme(percent=85, bands=32, rows=5, bits=512)
+    for text, other in zip(family(40, 300, 6, 7), reversed(family(40, 300, 6, 7))):
+        a, b = near_links.shingles(text), near_links.shingles(other)
+        if scheme.similar(a, b):
+            x, y = (int.from_bytes(scheme.sketch(scheme.samples(s)), "little") for s in (a, b))
+            assert (x ^ y).bit_count() <= scheme.most_odd_bits
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    edges = [(i, i + 1) for i in range(10, 40)] + [(100, i) for i in range(101, 160)] + [(3, 2), (2, 1), (1, 3), (7, 7)]
+    found = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {found[i] for i in range(10, 41)} == {10} and {found[i] for i in range(100, 160)} == {100}
+    assert {found[1], found[2], found[3]} == {1} and 7 not in found
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_repeated_passages_go_and_the_rest_stays(spark):
+    draw = random.Random(6)
+    passage = " ".join(f"p{n}" for n in range(60))
+    near = varied(passage.split(), 1, draw)
+    own = [" ".join(f"d{d}x{n}" for n in range(40)) for d in range(8)]
+    short = "a short line that many have"
+    rows = [
+        (5, f"{own[0]}\n{passage}\n{short}"), (3, f"{passage}\n{own[1]}"), (9, f"{own[2]}\n{near}\n{own[3]}\n{near}"),
+        (4, f"{short}\n{own[4]}"), (6, own[5]), (7, None), (8, ""), (None, passage), (10, passage), (11, own[6]), (11, own[7]),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit("clash"))
+    found = {(r.doc_id, r.text): r for r in remove_repeats(frame).collect()}
+    assert set(found) == {
+        (5, f"{own[0]}\n{short}"), (3, f"{passage}\n{own[1]}"), (9, f"{own[2]}\n{own[3]}"), (4, f"{short}\n{own[4]}"),
+        (6, own[5]), (7, None), (8, ""), (None, passage), (10, ""), (11, own[6]), (11, own[7]),
+    }
+    gone = found[9, f"{own[2]}\n{own[3]}"]
+    assert (gone.removed, gone.n_removed, gone.keep_doc_ids, gone.n_paragraphs) == ([1, 3], 2, [3], 4)
+    assert found[6, own[5]].n_removed == 0 and found[6, own[5]].removed == []
+    assert remove_repeats(frame.limit(0)).count() == 0
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
+
+
+def test_top_k_equals_brute_force(spark):
+    draw = random.Random(8)
+    rows = [(i, [draw.uniform(-1, 1) for _ in range(9)]) for i in range(300)]
+    rows += [(i, [0.5] * 9) for i in range(300, 420)]  # one common vector, many ties
+    rows += [(420, None), (421, [float("nan")] * 9), (422, [None] * 9), (423, [float("inf")] + [0.0] * 8), (424, []), (425, [1.0])]
+    rows += [(60, [0.1] * 9)]  # a repeated id
+    frame = vectors(spark, rows).repartition(5)
+    exact = [(i, None if v is None else [None if x is None else float(spark_float(x)) for x in v]) for i, v in rows]
+    wanted = reference_results.top_k(exact, [i for i, _ in rows if i % 20 == 0], 5)
+    found = top_k(frame, frame.filter("vec_id % 20 = 0"), k=5)
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
+def spark_float(x):
+    import numpy as np
+
+    return np.float32(x)
+
+
+def test_fewer_candidates_than_k_and_no_rows(spark):
+    few = vectors(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (None, [1.0, 1.0])])
+    assert [tuple(r) for r in top_k(few, few.filter("vec_id = 0"), k=5).collect()] == [(0, 1, 1, 256 * 128)]
+    assert top_k(few.limit(0), few.limit(0), k=5).count() == 0
+
+
+def test_very_large_components_stay_exact(spark):
+    rows = [(0, [2.0**20, 1.0]), (1, [2.0**20, 1.0]), (2, [2.0**20, 0.99]), (3, [-(2.0**20), 5.0])]
+    frame = vectors(spark, rows)
+    exact = [(i, [float(spark_float(x)) for x in v]) for i, v in rows]
+    assert [tuple(r) for r in top_k(frame, frame.filter("vec_id = 0"), k=3).orderBy("rank").collect()] == (
+        reference_results.top_k(exact, [0], 3)
+    )
+
+
+def test_marks_miss_no_wanted_id_and_stay_bounded(spark, monkeypatch):
+    wanted = spark.range(0, 3000, 3).union(spark.createDataFrame([(None,), (-5,)], "id long"))
+    others = spark.range(-10, 9000).union(spark.createDataFrame([(None,)], "id long"))
+    passed = {r.id for r in others.filter(IdMarks(wanted).column(F.col("id"))).collect()}
+    assert set(range(0, 3000, 3)) | {-5} <= passed and None not in passed and len(passed) < 1500
+    monkeypatch.setattr(marks, "MARK_BITS", 1024)
+    small = IdMarks(wanted)
+    assert small.bits == 1024
+    assert set(range(0, 3000, 3)) <= {r.id for r in others.filter(small.column(F.col("id"))).collect()}
+    assert others.filter(IdMarks(wanted.limit(0)).column(F.col("id"))).count() == 0
