@@ -215,10 +215,13 @@ def links_across_groups(units: DataFrame, blocks: DataFrame, signatures: DataFra
     the members are sent and compared in place, so what is sent stays in proportion to the members.
     """
 
+    nothing = pd.DataFrame({name: pd.Series(dtype="int64") for name in ("a", "b", "component", "key", "i", "j")})
+
     def possible(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.reset_index(drop=True)
         candidates = _candidates(group, scheme)
         x, y = np.nonzero(np.triu(candidates))
+        if not len(x):
+            return nothing
         ids, parts = group["id"].to_numpy(), group["component"].to_numpy()
         if len(x) <= PAIRS_PER_MEMBER * len(group):
             ends = np.sort(np.stack([ids[x], ids[y]]), axis=0)

@@ -37,8 +37,8 @@ def shingles(text: str | None) -> np.ndarray:
     count = len(words) - width + 1
     folded = np.full(count, np.uint64(width))
     for n in range(width):
-        folded = mixed(folded * _STEP + hashes[n : n + count])
-    return np.unique(folded)
+        folded = folded * _STEP + hashes[n : n + count]
+    return np.unique(mixed(folded))
 
 
 def shared_count(a: np.ndarray, b: np.ndarray) -> int:
