@@ -46,9 +46,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the paragraphs that another one, or the same one earlier, has already."""
+    """All documents, without the passages that another one, or the same one earlier, has already."""
     left = remove_repeats(docs)
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    length = F.when((F.col("n_removed") > 0) | (F.size("removed_spans") > 0), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", length).select(*docs.columns)
 
 

@@ -1,8 +1,11 @@
-"""Removal of repeated passages: paragraphs by MinHash bands, exact Jaccard, and components.
+"""Removal of repeated passages: similar lines first, then repeated word runs wherever they lie.
 
 A paragraph is a line of at least ``MIN_WORDS`` words. Paragraphs whose sets of
 five-word shingles are similar enough are linked, whether in one document or in
 several; of each connected group the first paragraph (smallest document id, then position) stays.
+
+In the texts that this leaves, runs of words that occur before go (``passages.py``). They need not be
+lines: they may lie inside a longer one or cross line breaks, and short lines belong to them as well.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fiscus.llm.marks import IdMarks
 from fiscus.llm.near_links import near_groups
+from fiscus.llm.passages import SPANS, repeated_spans, without_spans
 from fiscus.llm.signatures import Scheme
 from fiscus.shared import stored
 
@@ -40,6 +44,18 @@ def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
     )
 
 
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc`` and ``text`` of the rows that take part, once for each id."""
+    plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter(
+        "doc is not null and text is not null"
+    )
+    if not plain.groupBy("doc").count().filter("count > 1").isEmpty():
+        mark = F.xxhash64("text")
+        mixed_up = plain.groupBy("doc").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high")
+        plain = plain.join(mixed_up, "doc", "left_anti").dropDuplicates(["doc"])
+    return plain
+
+
 def remove_repeats(
     docs: DataFrame,
     scheme: Scheme = PARAGRAPHS,
@@ -47,22 +63,17 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """All rows of ``docs`` with the text left, ``n_paragraphs``, ``n_removed``, ``removed`` and ``keep_doc_ids``.
+    """All rows of ``docs`` with the text left, ``n_paragraphs``, ``n_removed``, ``removed``, ``removed_spans`` and ``keep_doc_ids``.
 
-    ``removed`` are positions of lines (from 0), ``keep_doc_ids`` the distinct
+    ``removed`` are positions of lines (from 0), ``removed_spans`` runs of words (from, to before) in
+    the text without those lines, ``keep_doc_ids`` the distinct
     documents that hold what stays of them. A text that loses all its lines
     becomes empty, its row stays. Null texts stay null. Rows with a null id,
     and rows that repeat an id with another text, stay as they are; rows that repeat an id with its text
-    are treated alike. Columns of the four result names are replaced. An empty table gives an empty result.
+    are treated alike. Columns of the five result names are replaced. An empty table gives an empty result.
     """
-    docs = docs.drop("n_paragraphs", "n_removed", "removed", "keep_doc_ids")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter(
-        "doc is not null and text is not null"
-    )
-    if not plain.groupBy("doc").count().filter("count > 1").isEmpty():
-        mark = F.xxhash64("text")
-        mixed_up = plain.groupBy("doc").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high")
-        plain = plain.join(mixed_up, "doc", "left_anti").dropDuplicates(["doc"])
+    docs = docs.drop("n_paragraphs", "n_removed", "removed", "removed_spans", "keep_doc_ids")
+    plain = _plain(docs, id_col, text_col)
     groups = near_groups(paragraphs(plain, min_words), scheme, unique_ids=True)
     changes = stored(
         groups.filter("id <> component")
@@ -82,15 +93,39 @@ def remove_repeats(
     lines = F.split(F.col(text_col), "\n")
     left = F.array_join(F.filter(lines, lambda line, at: ~F.array_contains("removed", at)), "\n")
     none = F.array().cast("array<int>"), F.array().cast("array<long>")
+    counted = docs.withColumn("n_paragraphs", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)))
     # Only documents that may lose something are joined; the texts of the others are not shuffled.
     marked = IdMarks(changes, "changed_doc").column(F.col(id_col))
-    joined = docs.filter(marked).join(changes, F.col(id_col).cast("long") == F.col("changed_doc"), "left")
-    return (
-        joined.unionByName(docs.filter(~marked), allowMissingColumns=True)
-        .withColumn("n_paragraphs", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)))
+    joined = stored(
+        counted.filter(marked)
+        .join(changes, F.col(id_col).cast("long") == F.col("changed_doc"), "left")
         .withColumn(text_col, F.when(F.col("removed").isNotNull(), left).otherwise(F.col(text_col)))
+        .drop("changed_doc"),
+        "shorter-texts",
+    )
+    shorter = (
+        joined.unionByName(counted.filter(~marked), allowMissingColumns=True)
         .withColumn("removed", F.coalesce("removed", none[0]))
         .withColumn("keep_doc_ids", F.coalesce("keep_doc_ids", none[1]))
         .withColumn("n_removed", F.size("removed"))
-        .drop("changed_doc")
     )
+    spans = stored(
+        repeated_spans(_plain(shorter, id_col, text_col), scheme.percent).withColumnRenamed("doc", "cut_doc"),
+        "removed-spans",
+    )
+    marked = IdMarks(spans, "cut_doc").column(F.col(id_col))
+    found = (
+        shorter.filter(marked)
+        .join(spans, F.col(id_col).cast("long") == F.col("cut_doc"), "left")
+        .withColumn("removed_spans", F.coalesce("spans", F.array().cast(SPANS)))
+        .withColumn("keep_doc_ids", F.array_sort(F.array_union("keep_doc_ids", F.coalesce("holders", none[1]))))
+        .withColumn(
+            text_col,
+            F.when(F.col("spans").isNotNull(), without_spans(F.col(text_col), F.col("removed_spans"))).otherwise(
+                F.col(text_col)
+            ),
+        )
+        .drop("cut_doc", "spans", "holders")
+    )
+    untouched = shorter.filter(~marked).withColumn("removed_spans", F.array().cast(SPANS))
+    return found.unionByName(untouched)
