@@ -18,10 +18,15 @@ from fiscus.llm.near_dedup import near_duplicates
 from fiscus.llm.packing import pack
 from fiscus.llm.paragraph_dedup import remove_repeats
 from fiscus.llm.quality import fit_rules, score_quality
+from fiscus.llm.signatures import Scheme
 from fiscus.shared import stored
 
 REJECTED_BELOW = 0.5  # a document goes if low quality is likelier than high
 
+# Near copies of the stage are similar from 0.8 on (op3 has a limit of its own); 40 bands of 4 samples miss a pair there
+# about once in 10^9.
+NEAR_COPIES = Scheme(percent=80, bands=40, rows=4, bits=512)
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -38,7 +43,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; documents without an id stay."""
-    gone = stored(near_duplicates(docs).filter("not kept").select("doc_id"), "near-copies")
+    gone = stored(near_duplicates(docs, NEAR_COPIES).filter("not kept").select("doc_id"), "near-copies")
     # Only documents that may go are joined; the texts of the others are not shuffled.
     marked = IdMarks(gone, "doc_id").column(F.col("doc_id"))
     unsure = docs.filter(marked).join(gone, "doc_id", "left_anti")
