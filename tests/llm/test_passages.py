@@ -92,3 +92,17 @@ def test_spans_far_apart_or_from_other_documents_stay_apart():
     starts = np.array([0, 20, 41, 61])
     assert joined_spans(starts, (1 << 24) + np.array([5, 25, 46, 66]), 80) == [(0, 81)]
     assert joined_spans(starts, (1 << 24) + np.array([5, 25, 46 + (1 << 24), 66 + (1 << 24)]), 80) == [(0, 40), (41, 81)]
+
+
+def test_hard_wrapped_passage_goes(spark):
+    """No line has the 20 words of a paragraph."""
+
+    def wrapped(words):
+        return "\n".join(" ".join(words[n : n + 11]) for n in range(0, len(words), 11))
+
+    licence = own("l", 25)
+    rows = [(1, wrapped(own("a", 40) + licence + own("b", 33))), (2, wrapped(own("c", 47) + licence + own("d", 30)))]
+    found = left(spark, rows)
+    assert found[1].text == rows[0][1]
+    assert found[2].text.split() == own("c", 47) + own("d", 30)
+    assert found[2].n_removed == 0 and [tuple(s) for s in found[2].removed_spans] == [(47, 72)]
