@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from fiscus.llm.bpe import round_trip
 from fiscus.llm.chat_format import digest_examples, format_examples
+from fiscus.llm.conversation_repair import damaged, repair_conversations
 from fiscus.llm.exact_dedup import deduplicate_batch
+from fiscus.llm.importance import resample
 from fiscus.llm.language_id import identify
 from fiscus.llm.near_dedup import near_duplicates
 from fiscus.llm.packing import pack
 from fiscus.llm.paragraph_dedup import remove_repeats
 from fiscus.llm.quality import fit_rules, score_quality
+from fiscus.llm.secret_scan import digest_secrets, scan_secrets
 from fiscus.llm.token_counts import count_tokens
 from fiscus.llm.topk import top_k
+from fiscus.llm.twins import OP11_SQL, OP12_SQL, OP13_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +91,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_secrets(scan_secrets(documents(spark, sf_dir)))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_conversations(damaged(turns), times_col="times")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = resample(documents(spark, sf_dir), target, percent=10, least_words=20, buckets=10_000, longest=1, seed="2024")
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 OP3_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(
    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
@@ -149,8 +168,19 @@ def queries() -> dict[str, Query]:
         "op8_paragraph_dedup": op8_paragraph_dedup,
         "op9_packing": op9_packing,
         "op10_token_counts": op10_token_counts,
+        "op11_secret_scan": op11_secret_scan,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
 def statements() -> dict[str, str]:
-    return {"op3_near_dedup": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL}
+    return {
+        "op3_near_dedup": OP3_SQL,
+        "op5_exact_top_k": OP5_SQL,
+        "op6_exact_dedup": OP6_SQL,
+        "op7_chat_format": OP7_SQL,
+        "op11_secret_scan": OP11_SQL,
+        "op12_conversation_repair": OP12_SQL,
+        "op13_importance_resampling": OP13_SQL,
+    }
