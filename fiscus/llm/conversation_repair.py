@@ -64,8 +64,8 @@ def _symbol(role: Column, text: Column) -> Column:
     return F.when(left == "", GONE).when(F.right(left, F.lit(1)).isin(".", "!", "?"), sound).otherwise(F.upper(sound))
 
 
-def marked(said: DataFrame) -> DataFrame:
-    """``KEY``, ``part`` and ``symbols`` of all rows: equal ones as runs of at most ``BLOCK`` symbols."""
+def marked(said: DataFrame, block: int) -> DataFrame:
+    """``KEY``, ``part`` and ``symbols`` of all rows: equal ones as runs of at most ``block`` symbols."""
     rows = said.filter("times > 0").groupBy(*KEY, "symbol").agg(F.sum("times").alias("n"))
     firsts = stored(
         rows.groupBy("conv", "role", "digest")
@@ -81,8 +81,8 @@ def marked(said: DataFrame) -> DataFrame:
     return (
         rows.join(firsts, same, "left")
         .withColumn("lead", F.when(is_first, F.col("symbol")).otherwise(GONE))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {BLOCK}"))))
-        .withColumn("size", F.least(F.lit(BLOCK), F.col("n") - F.col("part") * BLOCK).cast("int"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {block}"))))
+        .withColumn("size", F.least(F.lit(block), F.col("n") - F.col("part") * block).cast("int"))
         .select(
             *KEY, "part",
             F.concat(F.when(F.col("part") == 0, F.col("lead")).otherwise(GONE), F.expr(f"repeat('{GONE}', size - 1)"))
@@ -91,7 +91,7 @@ def marked(said: DataFrame) -> DataFrame:
     )
 
 
-def blocks(runs: DataFrame) -> DataFrame:
+def blocks(runs: DataFrame, block: int) -> DataFrame:
     """Blocks of symbols in order: ``KEY`` of their first row, ``at``, ``symbols`` and ``edge``.
 
     ``at`` orders blocks. ``edge`` is false only if the block surely holds its whole conversation.
@@ -107,7 +107,7 @@ def blocks(runs: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 row.pop("part")
-                if now and now["conv"] == row["conv"] and len(now["symbols"]) + len(row["symbols"]) <= BLOCK:
+                if now and now["conv"] == row["conv"] and len(now["symbols"]) + len(row["symbols"]) <= block:
                     now["symbols"] += row["symbols"]
                     continue
                 more = now is not None and now["conv"] == row["conv"]
@@ -315,7 +315,7 @@ def read_repairs(said: DataFrame, edits: DataFrame) -> DataFrame:
 
 def repair_conversations(
     turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-    times_col: str | None = None,
+    times_col: str | None = None, block: int = BLOCK,
 ) -> DataFrame:
     """One row per conversation: counts of faults, cost and audit of the cheapest repair, digest of the repaired text.
 
@@ -336,7 +336,7 @@ def repair_conversations(
         text.alias("text"),
         (F.col(times_col) if times_col else F.lit(1)).cast("long").alias("times"),
     )
-    found = stored(blocks(marked(said.drop("text"))), "symbol-blocks")
+    found = stored(blocks(marked(said.drop("text"), block), block), "symbol-blocks")
     grammar = learn_grammar(found)
     edits = solved(found.filter("not edge"), grammar).unionByName(joined_up(found.filter("edge"), grammar))
     return read_repairs(said, edits).withColumnRenamed("conv", id_col)
