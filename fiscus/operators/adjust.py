@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiscus.schema import (
@@ -38,10 +40,15 @@ def derive_codes(df: DataFrame) -> DataFrame:
 
 def deflate(df: DataFrame, parameters: Parameters, horizon: Horizon) -> DataFrame:
     """Amounts at base-year prices: the budget for the first year, projections after it."""
+    return deflators_of(df, [F.lit(parameters.deflator(horizon.base_year, year)) for year in horizon.years], horizon)
+
+
+def deflators_of(df: DataFrame, deflators: Sequence[Column], horizon: Horizon) -> DataFrame:
+    """The same with one deflator per projected year."""
     nominal = [NET_BUDGET, *[projection(year) for year in horizon.years[1:]]]
     return df.withColumns(
         {
-            name: F.col(source) / F.lit(parameters.deflator(horizon.base_year, year))
-            for name, source, year in zip(horizon.deflated, nominal, horizon.years)
+            name: F.col(source) / deflator
+            for name, source, deflator in zip(horizon.deflated, nominal, deflators)
         }
     )

@@ -129,9 +129,13 @@ def matching_slices(rules: Sequence[Rule], horizon: Horizon) -> Column:
 
 def aggregate_slices(fact: DataFrame, rules: Sequence[Rule], horizon: Horizon) -> DataFrame:
     """All slices from one scan: reduce, assign slices, merge month classes."""
+    return merged_slices(reduce_fact(fact, rules, horizon), rules, horizon)
+
+
+def merged_slices(reduced: DataFrame, rules: Sequence[Rule], horizon: Horizon) -> DataFrame:
+    """Slices of rows that are reduced by key and month, or by key and month class."""
     return (
-        reduce_fact(fact, rules, horizon)
-        .withColumn(SLICE, F.explode(matching_slices(rules, horizon)))
+        reduced.withColumn(SLICE, F.explode(matching_slices(rules, horizon)))
         .groupBy(SLICE, *KEYS)
         .agg(
             *[F.sum(name).alias(name) for name in SUMS],

@@ -99,13 +99,19 @@ def rule_table(
 def project_slices(
     aggregated: DataFrame, rules: Sequence[Rule], parameters: Parameters, horizon: Horizon
 ) -> DataFrame:
-    """Label and project the groups of all slices.
+    """Label and project the groups of all slices."""
+    return project_by(rule_table(aggregated.sparkSession, rules, parameters, horizon), aggregated, rules, horizon)
 
-    The rule table has one row per rule and does not grow with the data, so it
+
+def project_by(
+    rows: DataFrame, aggregated: DataFrame, rules: Sequence[Rule], horizon: Horizon, also: Sequence[str] = ()
+) -> DataFrame:
+    """Label and project by a rule table; ``also`` names further columns of it that the result keeps.
+
+    The rule table has one row per rule (and further argument of the caller's) and does not grow with the data, so it
     is safe to broadcast.
     """
     seed_width, growth_width = _widths(rules)
-    rows = rule_table(aggregated.sparkSession, rules, parameters, horizon)
     joined = aggregated.join(F.broadcast(rows), SLICE)
 
     net_collected = (
@@ -135,7 +141,7 @@ def project_slices(
             for year in horizon.years[1:]
         },
     )
-    return compounded.select(*stacked_columns(horizon))
+    return compounded.select(*also, *stacked_columns(horizon))
 
 
 def _widths(rules: Sequence[Rule]) -> tuple[int, int]:

@@ -33,8 +33,8 @@ def publish_jdbc(result: DataFrame, options: Mapping[str, str]) -> None:
     rows = counted_write(
         result, lambda frame: frame.write.format("jdbc").mode("overwrite").options(**options).save()
     )
-    plain = {name: value for name, value in options.items() if name.lower() not in SPLIT_OPTIONS}
-    plain["dbtable"] = f"(SELECT count(*) AS n FROM {options['dbtable']}) q"
+    plain = {name.lower(): value for name, value in options.items() if name.lower() not in SPLIT_OPTIONS}
+    plain["dbtable"] = f"(SELECT count(*) AS n FROM {plain['dbtable']}) q"
     published = result.sparkSession.read.format("jdbc").options(**plain).load().first()[0]
     check_rows(int(published), rows)
 

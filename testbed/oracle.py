@@ -545,6 +545,69 @@ def text_amounts() -> str:
     return with_fact(f"SELECT {KEYS}, {sums} FROM fat GROUP BY {KEYS}")
 
 
+FINGERPRINT = """
+SELECT nome_receita_ldo, count(*) AS linhas, true AS igual, count(DISTINCT r) > 1 AS swapped, true AS changed, true AS lost
+FROM (SELECT nome_receita_ldo, r FROM ({}) AS r) AS rows GROUP BY nome_receita_ldo"""
+
+SETS = f"""
+sets AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {parts[0]} THEN '{slice_id}' END" for slice_id, parts in SLICES.items())}],
+    lambda x: x IS NOT NULL) AS ids FROM fat WHERE {REVENUE_ACCOUNT})"""
+
+COVERAGE = f"""
+SELECT array_to_string(ids, '+') AS slices, cast(len(any_value(ids)) AS int) AS times, count(*) AS entries,
+  cast({NET_COLLECTED} AS double) AS receita_arrecadada_liquida, cast({NET_BUDGET} AS double) AS receita_orcada_liquida
+FROM sets GROUP BY array_to_string(ids, '+')"""
+
+
+def reconciliation() -> str:
+    lines = ("accounts", "1"), ("slices", "len(ids)"), ("repeated", "greatest(len(ids) - 1, 0)"), ("uncovered", "cast(len(ids) = 0 AS int)")
+    parts = [
+        f"SELECT {n} AS ord, '{name}' AS line, cast(sum({times}) AS bigint) AS entries, "
+        f"sum({times} * (val_receita_arrecadada - val_receita_arrecadada_deducao)) AS a, "
+        f"sum({times} * (val_receita_orcada - val_receita_orcada_deducao)) AS b FROM sets"
+        for n, (name, times) in enumerate(lines, 1)
+    ]
+    columns = "cast(a AS double) AS receita_arrecadada_liquida, cast(b AS double) AS receita_orcada_liquida"
+    signed = ", ".join(f"cast(sum(CASE WHEN line IN ('accounts', 'repeated') THEN {x} ELSE -{x} END) AS {t})"
+                       for x, t in (("entries", "bigint"), ("a", "double"), ("b", "double")))
+    return with_fact(
+        f"SELECT ord, line, entries, {columns} FROM lines UNION ALL SELECT 5, 'difference', {signed} FROM lines",
+        SETS, "lines AS (" + " UNION ALL ".join(parts) + ")",
+    )
+
+
+def prefix_match() -> str:
+    picks = []
+    for name, prefixes in (("rcl", RCL_PREFIXES), ("rli", RLI_PREFIXES)):
+        ords = "".join(f" WHEN starts_with(cod_detalhamento, '{prefix}') THEN {n}" for n, prefix in enumerate(prefixes, 1))
+        texts = "".join(f" WHEN starts_with(cod_detalhamento, '{prefix}') THEN '{prefix}'" for prefix in prefixes)
+        picks += [f"CASE{ords} END AS {name}_ord", f"CASE{texts} END AS {name}_prefix"]
+    return with_stacked(f"SELECT nome_receita_ldo, cod_detalhamento, {', '.join(picks)} FROM stacked")
+
+
+# What format_number and the swap of marks make of non-negative amounts with two decimals.
+FORMAT_PROFILE = "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS "column", cast(0 AS bigint) AS plain, count(*) FILTER ({point}) AS point_decimal,
+  count(*) FILTER (NOT {point}) AS comma_decimal, cast(0 AS bigint) AS open_point, cast(0 AS bigint) AS open_comma,
+  cast(0 AS bigint) AS empty, cast(0 AS bigint) AS unreadable, cast(sum({c}) AS decimal(30,2)) AS soma FROM fat"""
+    for c, point in (("val_receita_arrecadada", "false"), ("val_receita_arrecadada_deducao", "false"),
+                     ("val_receita_orcada", "true"), ("val_receita_orcada_deducao", "true"))
+)
+
+
+def scenarios() -> str:
+    parts = [
+        f"SELECT '{name}' AS cenario, * FROM ({consolidated(given)}) AS {name}" for name, given in (("publicado", GIVEN), ("revisado", REVISED))
+    ]
+    return "\nUNION ALL\n".join(parts)
+
+
+NET_AGGREGATE = f"""
+SELECT {KEYS}, cast({NET_COLLECTED} AS double) AS receita_arrecadada_liquida,
+  cast({NET_BUDGET} AS double) AS receita_orcada_liquida, count(*) AS lancamentos
+FROM fat WHERE {REVENUE_ACCOUNT} GROUP BY {KEYS}"""
+
+
 def statements() -> dict[str, str]:
     found = {
         "fact_scan": with_fact("SELECT * FROM fat"),
@@ -559,12 +622,18 @@ FROM (SELECT cod_detalhamento, num_ano, num_mes,
              ELSE replace(cast(val_receita_arrecadada AS varchar), '.', ',') END AS texto
       FROM fat) AS texts"""
         ),
-        "net_aggregate": with_fact(
-            f"""
-SELECT {KEYS}, cast({NET_COLLECTED} AS double) AS receita_arrecadada_liquida,
-  cast({NET_BUDGET} AS double) AS receita_orcada_liquida, count(*) AS lancamentos
-FROM fat WHERE {REVENUE_ACCOUNT} GROUP BY {KEYS}"""
-        ),
+        "net_aggregate": with_fact(NET_AGGREGATE),
+        "net_aggregate_bucketed": with_fact(NET_AGGREGATE),
+        "incremental_net_aggregate": with_fact(NET_AGGREGATE),
+        "incremental_slices": with_fact(all_slices()),
+        "slices_by_text": with_fact(all_slices()),
+        "slice_coverage": with_fact(COVERAGE, SETS),
+        "slice_reconciliation": reconciliation(),
+        "flag_prefix_match": prefix_match(),
+        "projection_scenarios": scenarios(),
+        "amount_format_profile": with_fact(FORMAT_PROFILE),
+        "publish_snapshot_readback": consolidated(),
+        "publish_fingerprint": FINGERPRINT.format(consolidated()),
         "macro_index": with_fact(
             f"""
 SELECT b.cod_origem, b.num_ano, i.indicator, i.ref_year, i.value,
