@@ -3,7 +3,8 @@
 ``BENCH_SF_DIR`` names the folder of the test tables, ``BENCH_CPUS`` the
 local threads. ``BENCH_SCALE_TIMES`` (0: left out) stores the fact table that
 many times over and projects it once, to see how work grows with rows. Times are medians of warm runs into a sink that discards rows,
-from building the frame to the last row.
+from building the frame to the last row. ``calibration`` is a fixed piece of work that reads no table and calls nothing of this
+repository, taken before and after the queries: between rounds it changes with the machine, not with the code.
 """
 
 from __future__ import annotations
@@ -52,6 +53,18 @@ def median_of_warm_runs(run, runs: int = WARM_RUNS) -> float:
     return round(statistics.median(seconds(run) for _ in range(runs)), 3)
 
 
+def calibration(spark: SparkSession) -> float:
+    """Seconds of a fixed grouping of numbers."""
+    return median_of_warm_runs(
+        lambda: spark.range(20_000_000).groupBy((F.xxhash64("id") % 1000).alias("key")).agg(F.sum(F.sqrt("id")).alias("total"))
+    )
+
+
+def scans(frame) -> int:
+    """Scans of files in the plan of a frame."""
+    return frame._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
 def scale_check(spark: SparkSession, sf_dir: str, times: int) -> dict:
     """Seconds of one projection over the stored fact taken ``times`` times, and rows through its first shuffle."""
     folder = new_folder(spark, "bench-scale")
@@ -82,6 +95,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     registered = queries()
+    before = calibration(spark)
     times = {
         name: median_of_warm_runs(lambda name=name: registered[name](spark, sf_dir)) for name in HEADLINE
     }
@@ -105,9 +119,13 @@ def main() -> None:
                 "queries": times,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "cpus": int(cpus),
+                "calibration": {"before": before, "after": calibration(spark)},
                 "for_comparison": {
                     "all_slices_one_by_one": one_by_one,
-                    "scans": {"all_slices_single_pass": 1, "all_slices_one_by_one": 40},
+                    "scans": {
+                        "all_slices_single_pass": scans(registered["all_slices_single_pass"](spark, sf_dir)),
+                        "all_slices_one_by_one": scans(all_slices_one_by_one(spark, sf_dir)),
+                    },
                 },
             }
             | scale
