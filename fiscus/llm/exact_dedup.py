@@ -54,6 +54,10 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def close(self) -> None:
+        """Take the table out of the catalog; its files stay and can be opened again."""
+        self.spark.sql(f"DROP TABLE {self.table}")
+
     def append(self, groups: DataFrame) -> None:
         """Add digests that the index does not hold; one file per bucket."""
         (
@@ -77,22 +81,23 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     A digest may hold any share of the rows: grouping combines on the map side, and the
     join back deals a hot digest out over several tasks (skewed sort-merge join).
     """
-    plain = docs.drop(DIGEST, "keep_id", "group_size", "kept").withColumn(DIGEST, text_digest(F.col(text_col)))
+    plain = docs.drop(DIGEST, "keep_id", "group_size", "kept").withColumn(DIGEST, text_digest(F.col(f"`{text_col}`")))
+    is_new = next(name for name in ("is_new", *(f"is_new_{n}" for n in range(len(docs.columns)))) if name not in docs.columns)
     batch = plain.groupBy(DIGEST).agg(F.min(id_col).alias("batch_id"), F.count("*").alias("group_size"))
     known = index.rows().select(DIGEST, F.col("keep_id").alias("known_id"))
     new = batch.join(known.hint("merge"), DIGEST, "left_anti").select(
-        DIGEST, F.col("batch_id").alias("keep_id"), "group_size", F.lit(True).alias("is_new")
+        DIGEST, F.col("batch_id").alias("keep_id"), "group_size", F.lit(True).alias(is_new)
     )
     old = batch.join(known.hint("merge"), DIGEST).select(
-        DIGEST, F.col("known_id").alias("keep_id"), "group_size", F.lit(False).alias("is_new")
+        DIGEST, F.col("known_id").alias("keep_id"), "group_size", F.lit(False).alias(is_new)
     )
     # Written before the index grows, or a second evaluation would find its own rows in it.
     groups = stored(new.unionByName(old), "digest-groups")
-    index.append(groups.filter("is_new"))
+    index.append(groups.filter(F.col(is_new)))
     return (
         plain.join(groups.hint("merge"), DIGEST)
-        .withColumn("kept", F.col("is_new") & F.col(id_col).eqNullSafe(F.col("keep_id")))
-        .drop("is_new")
+        .withColumn("kept", F.col(is_new) & F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id")))
+        .drop(is_new)
     )
 
 
@@ -101,4 +106,7 @@ def deduplicate_batch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = DigestIndex.open(spark, new_folder(spark, "digest-index"), buckets)
-    return deduplicate(docs, index, id_col, text_col)
+    try:
+        return deduplicate(docs, index, id_col, text_col)
+    finally:
+        index.close()

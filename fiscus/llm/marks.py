@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 from fiscus.llm.signatures import mixed
 
 MARK_BITS = 2**26  # 8 MB, whatever the number of ids
-MARK_TASKS = 8
 
 
 class IdMarks:
@@ -28,16 +26,21 @@ class IdMarks:
         bits, places = self.bits, self._places
 
         def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            marks = np.zeros(bits, bool)
             for batch in batches:
                 for at in places(batch.column(0).drop_null().to_numpy(zero_copy_only=False), bits):
-                    marks[at] = True
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(marks).tobytes()], pa.binary())], names=["marks"])
-
-        parts = wanted.select(F.col(id_col).cast("long")).coalesce(MARK_TASKS).mapInArrow(marked, "marks binary")
-        marks = np.zeros(bits // 8, np.uint8)
-        for part in parts.collect():
-            marks |= np.frombuffer(part.marks, np.uint8)
+                    words, where = np.unique(at >> 6, return_inverse=True)
+                    marks = np.zeros(len(words), np.uint64)
+                    np.bitwise_or.at(marks, where, np.uint64(1) << (at & 63).astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(marks.view(np.int64))], names=["word", "bits"])
+
+        # Words of the bitmap are put together by all tasks; at most MARK_BITS / 64 of them come back.
+        found = (
+            wanted.select(F.col(id_col).cast("long")).mapInArrow(marked, "word long, bits long")
+            .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        )
+        marks = np.zeros(bits >> 6, np.int64)
+        marks[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+        marks = marks.view(np.uint64)
         self.known = wanted.sparkSession.sparkContext.broadcast(marks)
 
     @staticmethod
@@ -48,19 +51,19 @@ class IdMarks:
     def hits(self, ids: np.ndarray) -> np.ndarray:
         """For tasks: which of these ids may be wanted."""
         marks = self.known.value
-        first, second = (marks[at >> 3] >> (7 - (at & 7)) & 1 for at in self._places(ids, self.bits))
+        first, second = (marks[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) for at in self._places(ids, self.bits))
         return (first & second).astype(bool)
 
     def column(self, ids: Column) -> Column:
         """The same as a boolean column."""
         hits = self.hits
 
-        @F.pandas_udf("boolean")
-        def marked(values: pd.Series) -> pd.Series:
-            present = values.notna().to_numpy()
+        @F.arrow_udf("boolean")
+        def marked(values: pa.Array) -> pa.Array:
             found = np.zeros(len(values), bool)
-            found[present] = hits(values.to_numpy()[present].astype(np.int64))
-            return pd.Series(found)
+            present = values.is_valid().to_numpy(zero_copy_only=False)
+            found[present] = hits(values.drop_null().to_numpy(zero_copy_only=False))
+            return pa.array(found)
 
         return marked(ids.cast("long"))
 

@@ -18,9 +18,9 @@ a bucket of many copies costs its size, not the square of it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,42 +28,51 @@ from pyspark.sql import functions as F
 
 from fiscus.llm.components import components
 from fiscus.llm.marks import IdMarks
-from fiscus.llm.signatures import Scheme, shingles, sketch_words
-from fiscus.shared import stored
+from fiscus.llm.signatures import Scheme, shingles, shingles_of_all, sketch_words
+from fiscus.shared import scratch, small_batches, stored
 
 BLOCK = 256
 PAIRS_PER_MEMBER = 4
 
 
 def signed(units: DataFrame, scheme: Scheme) -> DataFrame:
-    """``id``, ``n_shingles``, ``digest`` of the shingle set, ``keys`` of the bands and ``sketch``; nulls without words."""
+    """``id``, ``n_shingles``, ``digest`` of the shingle set, ``keys`` of the bands and ``sketch``; nulls and no keys without words."""
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, keys, sketches = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingles(text)
-                sizes.append(len(found))
-                if not len(found):
-                    digests.append(None)
-                    keys.append(None)
-                    sketches.append(None)
-                    continue
-                samples = scheme.samples(found)
-                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                keys.append(scheme.band_keys(samples))
-                sketches.append(scheme.sketch(samples))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["id", "n_shingles", "digest", "keys", "sketch"],
-            )
+            at = 0
+            for values, counts in shingles_of_all(batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(counts)), *signed_sets(values, counts, scheme)],
+                    names=["id", "n_shingles", "digest", "keys", "sketch"],
+                )
+                at += len(counts)
 
     return units.select("id", "text").mapInArrow(
         signatures, "id long, n_shingles long, digest binary, keys array<long>, sketch binary"
     )
 
 
+def signed_sets(values: np.ndarray, counts: np.ndarray, scheme: Scheme) -> list[pa.Array]:
+    """Sizes, digests, band keys and sketches of many sets at once; empty sets have only a size."""
+    filled = np.flatnonzero(counts)
+    ends = np.cumsum(counts)
+    samples = scheme.samples_of_all(values, counts[filled]) if len(filled) else np.empty((0, scheme.bands * scheme.rows), np.uint64)
+    digests: list[bytes | None] = [None] * len(counts)
+    sketches: list[bytes | None] = [None] * len(counts)
+    for n, sketch in zip(filled.tolist(), scheme.sketches(samples)):
+        digests[n] = xxhash.xxh3_128_digest(values[ends[n] - counts[n] : ends[n]].tobytes())
+        sketches[n] = sketch
+    keys = np.where(counts > 0, scheme.bands, 0)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(keys)]), pa.int32())
+    return [
+        pa.array(counts, pa.int64()),
+        pa.array(digests, pa.binary()),
+        pa.ListArray.from_arrays(offsets, pa.array(scheme.band_keys(samples).ravel(), pa.int64())),
+        pa.array(sketches, pa.binary()),
+    ]
+
+
 def shingle_sets(units: DataFrame, wanted: DataFrame) -> DataFrame:
     """``id`` and ``shingle_set`` of all units whose id is in ``wanted``, and of a few others; no text is shuffled."""
     marks = IdMarks(wanted)
@@ -94,13 +103,14 @@ def buckets(nodes: DataFrame, signatures: DataFrame) -> DataFrame:
 
 def hub_links(members: DataFrame) -> DataFrame:
     """Distinct links (``a``, ``b``) of bucket members to the hub of their bucket."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = stored(members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "bucket-sizes")
     met = members.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("met"))
-    hubs = (
+    hubs = stored(
         members.join(met, "id")
         .groupBy("key")
         .agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("best"))
-        .select("key", (-F.col("best")["minus"]).alias("hub"))
+        .select("key", (-F.col("best")["minus"]).alias("hub")),
+        "hubs",
     )
     return (
         members.join(hubs, "key")
@@ -152,7 +162,7 @@ def open_blocks(members: DataFrame, groups: DataFrame) -> DataFrame:
     those inside it come in the later ones, which meet only the first. Buckets with the same members count once.
     """
     grouped = members.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    several = (
+    several = stored(
         grouped.groupBy("key")
         .agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"),
@@ -162,9 +172,10 @@ def open_blocks(members: DataFrame, groups: DataFrame) -> DataFrame:
         .filter("low <> high and size > 2")
         .groupBy("size", "print", "print_xor")
         .agg(F.min("key").alias("key"))
-        .select("key", "size")
+        .select("key", "size"),
+        "open-buckets",
     )
-    counted = (
+    counted = stored(
         grouped.join(several, "key")
         .groupBy("key", "component")
         .agg(F.count("*").alias("n"), F.first("size").alias("size"))
@@ -175,7 +186,8 @@ def open_blocks(members: DataFrame, groups: DataFrame) -> DataFrame:
             F.col("main")["component"].alias("main"),
             F.ceil((F.col("size") - F.col("main")["n"]) / BLOCK).cast("int").alias("outer"),
             F.ceil(F.col("main")["n"] / BLOCK).cast("int").alias("inner"),
-        )
+        ),
+        "counted-buckets",
     )
     return (
         grouped.join(counted, "key")
@@ -192,19 +204,56 @@ def open_blocks(members: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(group: pd.DataFrame, scheme: Scheme) -> np.ndarray:
-    """Which members of two blocks may be similar although their groups differ, as a square of booleans."""
-    sizes = group["n_shingles"].to_numpy()
-    parts = group["component"].to_numpy()
-    sketches = sketch_words(list(group["sketch"]))
-    odd = np.zeros((len(group), len(group)), np.uint16)
-    for word in sketches.T:
-        odd += np.bitwise_count(word[:, None] ^ word[None, :])
-    return (
-        scheme.may_be_similar(odd)
-        & (parts[:, None] != parts[None, :])
-        & scheme.sizes_agree(sizes[:, None], sizes[None, :])
-    )
+@dataclass
+class _Pair:
+    """The members of a pair of blocks, as columns."""
+
+    key: tuple[int, int, int]
+    ids: np.ndarray
+    parts: np.ndarray
+    sizes: np.ndarray
+    sketches: np.ndarray
+    sets: list[bytes]
+
+    def candidates(self, scheme: Scheme) -> np.ndarray:
+        """Which members may be similar although their groups differ, as a square of booleans."""
+        odd = np.zeros((len(self.ids), len(self.ids)), np.uint16)
+        for word in self.sketches.T:
+            odd += np.bitwise_count(word[:, None] ^ word[None, :])
+        return (
+            scheme.may_be_similar(odd)
+            & (self.parts[:, None] != self.parts[None, :])
+            & scheme.sizes_agree(self.sizes[:, None], self.sizes[None, :])
+        )
+
+
+PAIR_KEY = ("key", "i", "j")
+
+
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Pair]:
+    """Pairs of blocks of a stream that is sorted by ``PAIR_KEY``; each is small, so many share a batch."""
+    left: list[list] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in (*PAIR_KEY, "id", "component", "n_shingles")]
+        columns.append(sketch_words(batch.column("sketch").to_pylist()))
+        columns.append(batch.column("shingle_set").to_pylist() if "shingle_set" in batch.schema.names else [b""] * batch.num_rows)
+        if left is not None:
+            columns = [x + y if isinstance(y, list) else np.concatenate([x, y]) for x, y in zip(left, columns)]
+        changes = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
+        ends = [*(np.flatnonzero(changes) + 1).tolist()]
+        start = 0
+        for end in ends:
+            yield _pair([c[start:end] for c in columns])
+            start = end
+        left = [c[start:] for c in columns]
+    if left is not None:
+        yield _pair(left)
+
+
+def _pair(columns: list) -> _Pair:
+    return _Pair(tuple(int(c[0]) for c in columns[:3]), *columns[3:])
 
 
 def links_across_groups(units: DataFrame, blocks: DataFrame, signatures: DataFrame, scheme: Scheme) -> DataFrame:
@@ -214,41 +263,50 @@ def links_across_groups(units: DataFrame, blocks: DataFrame, signatures: DataFra
     pair comes from many buckets and is confirmed once. Where they leave many,
     the members are sent and compared in place, so what is sent stays in proportion to the members.
     """
-
-    nothing = pd.DataFrame({name: pd.Series(dtype="int64") for name in ("a", "b", "component", "key", "i", "j")})
-
-    def possible(group: pd.DataFrame) -> pd.DataFrame:
-        candidates = _candidates(group, scheme)
-        x, y = np.nonzero(np.triu(candidates))
-        if not len(x):
-            return nothing
-        ids, parts = group["id"].to_numpy(), group["component"].to_numpy()
-        if len(x) <= PAIRS_PER_MEMBER * len(group):
-            ends = np.sort(np.stack([ids[x], ids[y]]), axis=0)
-            found = pd.DataFrame({"a": ends[0], "b": pd.array(ends[1], "Int64"), "component": parts[x]})
-        else:
-            left = candidates.any(axis=1)
-            found = pd.DataFrame({"a": ids[left], "b": pd.array([None] * left.sum(), "Int64"), "component": parts[left]})
-        return found.assign(**{name: group[name].iloc[0] for name in ("key", "i", "j")})
-
-    def joining(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.reset_index(drop=True)
-        parts = group["component"].tolist()
-        sets = [np.frombuffer(s, np.uint64) for s in group["shingle_set"]]
-        ids, found = group["id"].tolist(), []
-        for x, y in np.argwhere(np.triu(_candidates(group, scheme))).tolist():
-            if parts[x] != parts[y] and scheme.similar(sets[x], sets[y]):
-                found.append((ids[x], ids[y]))
-                old, new = parts[y], parts[x]
-                parts = [new if p == old else p for p in parts]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    most_pairs = PAIRS_PER_MEMBER
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for pair in _pairs_of_blocks(batches):
+            candidates = pair.candidates(scheme)
+            x, y = np.nonzero(np.triu(candidates))
+            if not len(x):
+                continue
+            if len(x) <= most_pairs * len(pair.ids):
+                ends = np.sort(np.stack([pair.ids[x], pair.ids[y]]), axis=0)
+                rows += [(a, b, None, *pair.key) for a, b in zip(*ends.tolist())]
+            else:
+                kept = candidates.any(axis=1)
+                rows += [(a, None, part, *pair.key) for a, part in zip(pair.ids[kept].tolist(), pair.parts[kept].tolist())]
+            if len(rows) >= 10_000:
+                yield table(rows)
+                rows = []
+        if rows:
+            yield table(rows)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["a", "b", "component", *PAIR_KEY])
+
+    def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair in _pairs_of_blocks(batches):
+            parts, ids, found = pair.parts.tolist(), pair.ids.tolist(), []
+            sets = [np.frombuffer(s, np.uint64) for s in pair.sets]
+            for x, y in np.argwhere(np.triu(pair.candidates(scheme))).tolist():
+                if parts[x] != parts[y] and scheme.similar(sets[x], sets[y]):
+                    found.append((ids[x], ids[y]))
+                    old, new = parts[y], parts[x]
+                    parts = [new if p == old else p for p in parts]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    def sorted_by_pair(frame: DataFrame) -> DataFrame:
+        return frame.repartition(*PAIR_KEY).sortWithinPartitions(*PAIR_KEY)
 
     own = signatures.select("id", "n_shingles", "sketch")
+    members = blocks.join(own, "id").select(*PAIR_KEY, "id", "component", "n_shingles", "sketch")
     left = stored(
-        blocks.join(own, "id").select("key", "i", "j", "id", "component", "n_shingles", "sketch")
-        .groupBy("key", "i", "j")
-        .applyInPandas(possible, "a long, b long, component long, key long, i int, j int"),
-        "open-pairs",
+        sorted_by_pair(members).mapInArrow(possible, "a long, b long, component long, key long, i int, j int"), "open-pairs"
     )
     if left.isEmpty():
         return left.select("a", "b")
@@ -259,9 +317,7 @@ def links_across_groups(units: DataFrame, blocks: DataFrame, signatures: DataFra
     links = confirmed(pairs, sets, scheme)
     if dense.isEmpty():
         return links
-    return links.union(
-        dense.join(own, "id").join(sets, "id").groupBy("key", "i", "j").applyInPandas(joining, "a long, b long")
-    )
+    return links.union(sorted_by_pair(dense.join(own, "id").join(sets, "id")).mapInArrow(joining, "a long, b long"))
 
 
 def near_groups(units: DataFrame, scheme: Scheme, unique_ids: bool = False) -> DataFrame:
@@ -270,13 +326,23 @@ def near_groups(units: DataFrame, scheme: Scheme, unique_ids: bool = False) -> D
     ``component`` is the smallest id that confirmed links and equal sets
     reach; a unit without words is alone. Rows that repeat an id are one unit
     with the greatest of its texts, and there is one result row for each of
-    them; ``unique_ids`` says that there are none.
+    them; ``unique_ids`` says that there are none. Tables in between are deleted.
     """
+    with scratch(units.sparkSession), small_batches(units.sparkSession):
+        return stored(_grouped(units, scheme, unique_ids), "near-groups", outlives=True)
+
+
+def _grouped(units: DataFrame, scheme: Scheme, unique_ids: bool) -> DataFrame:
     if not unique_ids and not units.groupBy("id").count().filter("count > 1").isEmpty():
         single = stored(units.groupBy("id").agg(F.max("text").alias("text")), "units")
-        return units.select("id").join(near_groups(single, scheme, unique_ids=True), "id")
+        return units.select("id").join(_grouped(single, scheme, unique_ids=True), "id")
     signatures = stored(signed(units, scheme), "signatures")
-    equal = signatures.filter("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("node"))
+    # Joins with a hot key are split only if the other side is not grouped in the same stage, so it is stored first.
+    equal = stored(
+        signatures.filter("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"))
+        .filter("n > 1").drop("n"),
+        "equal-sets",
+    )
     nodes = stored(
         signatures.select("id", "n_shingles", "digest").join(equal, "digest", "left")
         .select("id", "n_shingles", F.coalesce("node", "id").alias("node")),

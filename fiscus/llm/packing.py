@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fiscus.llm.pretokens import sections, special_pattern, words
+from fiscus.llm.pretokens import MEMO_KEY, sections, special_pattern, words
 from fiscus.shared import stored
 
 MEMO_WORDS = 500_000
@@ -38,7 +38,8 @@ class WordEncoder:
     """Ids of a vocabulary that lower-cases and drops white space, with memos of words and pre-tokens.
 
     Unknown pre-tokens are encoded many at a time, with spaces between them;
-    the last piece of each ends with the vocabulary's mark of a word's end.
+    the last piece of each ends with the vocabulary's mark of a word's end. Words and pre-tokens longer than
+    ``MEMO_KEY``, in scripts without spaces whole texts, are forgotten after their batch, so the memos are bounded in bytes.
     """
 
     def __init__(self, path: str):
@@ -56,6 +57,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(json.dumps(described))
         self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.long_words: list[str] = []
+        self.long_pieces: list[str] = []
 
     @staticmethod
     def normalised(section: str) -> str:
@@ -82,6 +85,8 @@ class WordEncoder:
                 raise ValueError("the vocabulary does not mark the end of each pre-token")
             raw = raw.tobytes()
             self.pieces.update(zip(unknown, (raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist()))))
+        self.long_pieces += [part for part in unknown if len(part) > MEMO_KEY]
+        self.long_words += [word for word in missing if len(word) > MEMO_KEY]
         pieces = self.pieces.__getitem__
         self.memo.update((word, b"".join(map(pieces, parts))) for word, parts in cut.items())
 
@@ -93,7 +98,7 @@ class WordEncoder:
         ]
         self.learn([s for parts in cut for s in parts if isinstance(s, list)])
         memo = self.memo.__getitem__
-        return [
+        found = [
             b"".join(
                 [
                     self.special[s].to_bytes(4, "little") if isinstance(s, str) else b"".join(map(memo, s))
@@ -102,6 +107,15 @@ class WordEncoder:
             )
             for parts in cut
         ]
+        self.forget()
+        return found
+
+    def forget(self) -> None:
+        """Drop the long words and pre-tokens of the batch, which hardly recur."""
+        for known, keys in ((self.memo, self.long_words), (self.pieces, self.long_pieces)):
+            for key in keys:
+                del known[key]
+            keys.clear()
 
 
 @lru_cache(maxsize=2)

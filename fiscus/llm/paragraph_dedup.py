@@ -13,35 +13,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiscus.llm.doc_numbers import Places, numbered
 from fiscus.llm.marks import IdMarks
 from fiscus.llm.near_links import near_groups
 from fiscus.llm.passages import SPANS, repeated_spans, without_spans
 from fiscus.llm.signatures import Scheme
-from fiscus.shared import stored
+from fiscus.shared import scratch, stored
 
 MIN_WORDS = 20
-POSITION_BITS = 24
 
-# 20 bands of 3 samples: a pair at the limit is missed once in a million, one at 0.9 practically never.
-PARAGRAPHS = Scheme(percent=80, bands=20, rows=3, bits=256)
+# 12 bands of 4 samples: a pair at the limit is missed twice in a thousand, one at 0.9 practically never.
+PARAGRAPHS = Scheme(percent=80, bands=12, rows=4, bits=256)
+RESULTS = ("n_paragraphs", "n_removed", "removed", "removed_spans", "keep_doc_ids")
 
 
-def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
-    """``id`` (document id and position in one number) and ``text`` of every paragraph that is long enough."""
-    limit = 2 ** (62 - POSITION_BITS)
-    number = F.shiftleft("doc", POSITION_BITS) + F.col("position")
-    fits = (F.col("doc") >= -limit) & (F.col("doc") < limit) & (F.col("position") < 2**POSITION_BITS)
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("position", "text"))
+def paragraphs(texts: DataFrame, places: Places, min_words: int) -> DataFrame:
+    """``id`` (the place of a line) and ``text`` of every paragraph that is long enough."""
+    lines = texts.select("number", F.posexplode(F.split("text", "\n")).alias("position", "text"))
     return lines.filter(
         (F.length("text") >= 2 * min_words - 1)
         & (F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")) >= min_words)
-    ).select(
-        F.when(fits, number)
-        .otherwise(F.raise_error(F.lit("document id or paragraph position out of range")))
-        .cast("long")
-        .alias("id"),
-        "text",
-    )
+    ).select(places.place(F.col("number"), F.col("position")).alias("id"), "text")
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -56,6 +48,12 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return plain
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, or the name with a number, that is no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(len(taken) + 1))) if n not in taken)
+
+
 def remove_repeats(
     docs: DataFrame,
     scheme: Scheme = PARAGRAPHS,
@@ -70,62 +68,65 @@ def remove_repeats(
     documents that hold what stays of them. A text that loses all its lines
     becomes empty, its row stays. Null texts stay null. Rows with a null id,
     and rows that repeat an id with another text, stay as they are; rows that repeat an id with its text
-    are treated alike. Columns of the five result names are replaced. An empty table gives an empty result.
+    are treated alike. Ids may be any 64-bit numbers and texts of any length. Columns of the five result names are
+    replaced, all others stay, whatever their names. An empty table gives an empty result.
+
+    The result reads two stored tables, of the texts without lines and of the spans; all others are deleted.
     """
-    docs = docs.drop("n_paragraphs", "n_removed", "removed", "removed_spans", "keep_doc_ids")
-    plain = _plain(docs, id_col, text_col)
-    groups = near_groups(paragraphs(plain, min_words), scheme, unique_ids=True)
-    changes = stored(
-        groups.filter("id <> component")
-        .select(
-            F.shiftright("id", POSITION_BITS).alias("doc"),
-            F.col("id").bitwiseAND(2**POSITION_BITS - 1).cast("int").alias("position"),
-            F.shiftright("component", POSITION_BITS).alias("keep_doc_id"),
-        )
-        .groupBy("doc")
-        .agg(
-            F.sort_array(F.collect_list("position")).alias("removed"),
-            F.sort_array(F.collect_set("keep_doc_id")).alias("keep_doc_ids"),
-        )
-        .withColumnRenamed("doc", "changed_doc"),
-        "removed-paragraphs",
-    )
-    lines = F.split(F.col(text_col), "\n")
+    docs = docs.drop(*RESULTS)
+    doc_id = F.col(f"`{id_col}`").cast("long")
+    text = F.col(f"`{text_col}`")
+    changes = repeated_lines(_plain(docs, id_col, text_col), scheme, min_words)
+    lines = F.split(text, "\n")
     left = F.array_join(F.filter(lines, lambda line, at: ~F.array_contains("removed", at)), "\n")
-    none = F.array().cast("array<int>"), F.array().cast("array<long>")
-    counted = docs.withColumn("n_paragraphs", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)))
+    key = free_name(docs, "changed_doc")
+    changes = changes.withColumnRenamed("doc", key)
+    counted = docs.withColumn("n_paragraphs", F.when(text.isNull(), 0).otherwise(F.size(lines)))
     # Only documents that may lose something are joined; the texts of the others are not shuffled.
-    marked = IdMarks(changes, "changed_doc").column(F.col(id_col))
-    joined = stored(
+    marked = IdMarks(changes, key).column(doc_id)
+    joined = (
         counted.filter(marked)
-        .join(changes, F.col(id_col).cast("long") == F.col("changed_doc"), "left")
-        .withColumn(text_col, F.when(F.col("removed").isNotNull(), left).otherwise(F.col(text_col)))
-        .drop("changed_doc"),
-        "shorter-texts",
+        .join(changes, doc_id == F.col(key), "left")
+        .withColumn(text_col, F.when(F.col("removed").isNotNull(), left).otherwise(text))
+        .drop(key)
     )
-    shorter = (
+    shorter = stored(
         joined.unionByName(counted.filter(~marked), allowMissingColumns=True)
-        .withColumn("removed", F.coalesce("removed", none[0]))
-        .withColumn("keep_doc_ids", F.coalesce("keep_doc_ids", none[1]))
-        .withColumn("n_removed", F.size("removed"))
-    )
-    spans = stored(
-        repeated_spans(_plain(shorter, id_col, text_col), scheme.percent).withColumnRenamed("doc", "cut_doc"),
-        "removed-spans",
+        .withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+        .withColumn("keep_doc_ids", F.coalesce("keep_doc_ids", F.array().cast("array<long>")))
+        .withColumn("n_removed", F.size("removed")),
+        "shorter-texts",
     )
-    marked = IdMarks(spans, "cut_doc").column(F.col(id_col))
+    key, spans_col, holders = (free_name(shorter, name) for name in ("cut_doc", "spans", "holders"))
+    spans = repeated_spans(_plain(shorter, id_col, text_col), scheme.percent).toDF(key, spans_col, holders)
+    marked = IdMarks(spans, key).column(doc_id)
     found = (
         shorter.filter(marked)
-        .join(spans, F.col(id_col).cast("long") == F.col("cut_doc"), "left")
-        .withColumn("removed_spans", F.coalesce("spans", F.array().cast(SPANS)))
-        .withColumn("keep_doc_ids", F.array_sort(F.array_union("keep_doc_ids", F.coalesce("holders", none[1]))))
-        .withColumn(
-            text_col,
-            F.when(F.col("spans").isNotNull(), without_spans(F.col(text_col), F.col("removed_spans"))).otherwise(
-                F.col(text_col)
-            ),
-        )
-        .drop("cut_doc", "spans", "holders")
+        .join(spans, doc_id == F.col(key), "left")
+        .withColumn("removed_spans", F.coalesce(spans_col, F.array().cast(SPANS)))
+        .withColumn("keep_doc_ids", F.array_sort(F.array_union("keep_doc_ids", F.coalesce(holders, F.array().cast("array<long>")))))
+        .withColumn(text_col, F.when(F.col(spans_col).isNotNull(), without_spans(text, F.col("removed_spans"))).otherwise(text))
+        .drop(key, spans_col, holders)
     )
     untouched = shorter.filter(~marked).withColumn("removed_spans", F.array().cast(SPANS))
     return found.unionByName(untouched)
+
+
+def repeated_lines(plain: DataFrame, scheme: Scheme, min_words: int) -> DataFrame:
+    """``doc``, ``removed`` (positions of lines) and ``keep_doc_ids`` of documents with similar lines further ahead."""
+    with scratch(plain.sparkSession):
+        texts, places = numbered(plain)
+        groups = near_groups(paragraphs(texts, places, min_words), scheme, unique_ids=True).filter("id <> component")
+        gone = groups.select(
+            places.number(F.col("id")).alias("doc"),
+            places.position(F.col("id")).alias("position"),
+            places.number(F.col("component")).alias("keep_doc_id"),
+        )
+        return stored(
+            places.with_ids(places.with_ids(gone, "doc"), "keep_doc_id").groupBy("doc").agg(
+                F.sort_array(F.collect_list("position")).alias("removed"),
+                F.sort_array(F.collect_set("keep_doc_id")).alias("keep_doc_ids"),
+            ),
+            "removed-paragraphs",
+            outlives=True,
+        )

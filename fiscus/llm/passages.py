@@ -20,19 +20,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fiscus.llm.doc_numbers import numbered
 from fiscus.llm.marks import IdMarks
-from fiscus.llm.signatures import _STEP, SHINGLE_WORDS, _word_hash, mixed
-from fiscus.shared import stored
+from fiscus.llm.signatures import _STEP, SHINGLE_WORDS, mixed, word_hashes
+from fiscus.shared import scratch, small_batches, stored
 
 WINDOW = 20
 ANCHOR = 8
-PLACE_BITS = 24
-ROWS_AT_ONCE = 500_000
+ROWS_AT_ONCE = 200_000
 SPANS = "array<struct<start:int,end:int>>"
 _PROOF_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -40,7 +39,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def _words(text: str) -> np.ndarray:
     words = text.encode().lower().split()
-    return np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
+    return word_hashes(words, len(words))
 
 
 def _runs(words: np.ndarray, width: int, step: np.uint64 = _STEP) -> np.ndarray:
@@ -94,8 +93,8 @@ def anchor_places(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(found, "key long")
 
 
-def likely_windows(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """``key``, ``proof`` and ``place`` (document id and word in one number) of windows whose anchor is in ``shared``."""
+def likely_windows(texts: DataFrame, bits: int, shared: DataFrame) -> DataFrame:
+    """``key``, ``proof`` and ``place`` (document number and word in one number) of windows whose anchor is in ``shared``."""
     marks = IdMarks(shared, "key")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +108,7 @@ def likely_windows(texts: DataFrame, shared: DataFrame) -> DataFrame:
                 at = np.flatnonzero(marks.hits(least.view(np.int64)))
                 if not len(at):
                     continue
-                if at[-1] >= 2**PLACE_BITS or not -(2 ** (62 - PLACE_BITS)) <= doc < 2 ** (62 - PLACE_BITS):
-                    raise ValueError("document id or word position out of range")
-                places = (doc << PLACE_BITS) + at.astype(np.int64)
+                places = (doc << bits) + at.astype(np.int64)
                 keys = (_runs(words, WINDOW, step)[at].view(np.int64) for step in (_STEP, _PROOF_STEP))
                 parts.append((*keys, places))
                 rows += len(at)
@@ -126,61 +123,81 @@ def likely_windows(texts: DataFrame, shared: DataFrame) -> DataFrame:
             [pa.array(np.concatenate(column)) for column in zip(*parts)], names=["key", "proof", "place"]
         )
 
-    return texts.select("doc", "text").mapInArrow(found, "key long, proof long, place long")
+    return texts.select("number", "text").mapInArrow(found, "key long, proof long, place long")
 
 
-def joined_spans(starts: np.ndarray, firsts: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spans of words (from, to before) that repeated windows cover; ``starts`` ascend, ``firsts`` are the first places."""
-    cuts = np.flatnonzero(np.diff(starts) > WINDOW) + 1
-    spans, shared, other, behind = [], 0, 0, 0
+def joined_spans(starts: np.ndarray, firsts: np.ndarray, percent: int, bits: int = 24) -> list[tuple[int, int]]:
+    """Spans of words (from, to before) that repeated windows cover; ``starts`` ascend, ``firsts`` are the first places.
+
+    ``bits`` of a place are its word, the others its document. A *run* is a row of windows whose first places follow each other
+    in the same way. The words between two runs go as well if there are few, if both runs follow each other in one
+    document further ahead, and if the shingles of the whole are similar enough there; shingles are counted by their places.
+    """
+    shifts = firsts - starts
+    cuts = np.flatnonzero((np.diff(starts) > WINDOW) | (np.diff(shifts) != 0)) + 1
+    spans: list[list[int]] = []
+    begun = there = shared = end_there = 0  # of the passage that the last run belongs to: where it starts, here and there
     for part in np.split(np.arange(len(starts)), cuts):
-        start, end = int(starts[part[0]]), int(starts[part[-1]]) + WINDOW
-        ahead, own = int(firsts[part[0]]), end - start - SHINGLE_WORDS + 1
-        if spans:
-            gap, skipped = start - spans[-1][1], ahead - behind
-            both = end - spans[-1][0] - SHINGLE_WORDS + 1
-            there = other + skipped + end - start
-            if ahead >> PLACE_BITS == (behind - 1) >> PLACE_BITS and skipped >= 0 and gap <= WINDOW:
-                if 100 * (shared + own) >= percent * (both + there - shared - own):
-                    spans[-1] = spans[-1][0], end
-                    shared, other, behind = shared + own, there, int(firsts[part[-1]]) + WINDOW
-                    continue
-        spans.append((start, end))
-        shared, other, behind = own, own, int(firsts[part[-1]]) + WINDOW
-    return spans
+        start, end, ahead = int(starts[part[0]]), int(starts[part[-1]]) + WINDOW, int(firsts[part[0]])
+        own = end - start - SHINGLE_WORDS + 1
+        last = spans[-1][1] if spans else 0
+        if spans and last < start <= last + WINDOW and ahead >> bits == there >> bits and ahead >= end_there:
+            whole, other = end - begun - SHINGLE_WORDS + 1, ahead + end - start - there - SHINGLE_WORDS + 1
+            if 100 * (shared + own) >= percent * (whole + other - shared - own):
+                spans[-1][1] = end
+                shared, end_there = shared + own, ahead + end - start
+                continue
+        if spans and start <= last:
+            spans[-1][1] = end
+        else:
+            spans.append([start, end])
+        begun, there, shared, end_there = start, ahead, own, ahead + end - start
+    return [(start, end) for start, end in spans]
 
 
-def repeated_spans(texts: DataFrame, percent: int) -> DataFrame:
+def repeated_spans(plain: DataFrame, percent: int) -> DataFrame:
     """``doc``, ``spans`` of words to remove and ``holders``, the ids of the documents that hold their first places.
 
-    ``texts`` has ``doc`` (unique, not null) and ``text`` (not null); documents without repeats are left out.
+    ``plain`` has ``doc`` (unique, not null) and ``text`` (not null); documents without repeats are left out.
     """
-    shared = stored(anchor_places(texts).groupBy("key").count().filter("count > 1").select("key"), "shared-anchors")
-    windows = stored(likely_windows(texts, shared), "likely-windows")
-    firsts = windows.groupBy("key", "proof").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    # A hot window is dealt out over several tasks (skewed sort-merge join).
-    repeats = windows.join(
-        firsts.filter("first <> last").select("key", "proof", "first").hint("merge"), ["key", "proof"]
-    ).filter("place <> first")
-    listed = repeats.groupBy(F.shiftright("place", PLACE_BITS).alias("doc")).agg(
-        F.sort_array(F.collect_list(F.struct("place", "first"))).alias("windows")
-    ).select("doc", F.col("windows")["place"].alias("places"), F.col("windows")["first"].alias("firsts"))
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, holders = [], []
-            for places, first in zip(batch.column(1), batch.column(2)):
-                places, first = (x.values.to_numpy(zero_copy_only=False) for x in (places, first))
-                found = joined_spans(places & (2**PLACE_BITS - 1), first, percent)
-                spans.append([{"start": s, "end": e} for s, e in found])
-                holders.append(np.unique(first >> PLACE_BITS).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                 pa.array(holders, pa.list_(pa.int64()))],
-                names=["doc", "spans", "holders"],
-            )
-
-    return listed.mapInArrow(merged, f"doc long, spans {SPANS}, holders array<long>")
+    with scratch(plain.sparkSession), small_batches(plain.sparkSession):
+        texts, numbers = numbered(plain)
+        bits = numbers.bits
+        shared = stored(anchor_places(texts).groupBy("key").count().filter("count > 1").select("key"), "shared-anchors")
+        windows = stored(likely_windows(texts, bits, shared), "likely-windows")
+        # Stored before the join, so that a hot window is dealt out over several tasks (skewed sort-merge join).
+        firsts = stored(
+            windows.groupBy("key", "proof").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+            .filter("first <> last").select("key", "proof", "first"),
+            "first-windows",
+        )
+        repeats = windows.join(firsts.hint("merge"), ["key", "proof"]).filter("place <> first")
+        listed = repeats.groupBy(F.shiftright("place", bits).alias("doc")).agg(
+            F.sort_array(F.collect_list(F.struct("place", "first"))).alias("windows")
+        ).select("doc", F.col("windows")["place"].alias("places"), F.col("windows")["first"].alias("firsts"))
+
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spans, holders = [], []
+                for places, first in zip(batch.column(1), batch.column(2)):
+                    places, first = (x.values.to_numpy(zero_copy_only=False) for x in (places, first))
+                    found = joined_spans(places & (2**bits - 1), first, percent, bits)
+                    spans.append([{"start": s, "end": e} for s, e in found])
+                    holders.append(np.unique(first >> bits).tolist())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                     pa.array(holders, pa.list_(pa.int64()))],
+                    names=["doc", "spans", "holders"],
+                )
+
+        spans = stored(listed.mapInArrow(merged, f"doc long, spans {SPANS}, holders array<long>"), "repeated-spans")
+        named = numbers.with_ids(spans.select("doc", F.explode("holders").alias("holder")), "holder")
+        holders = named.groupBy("doc").agg(F.sort_array(F.collect_set("holder")).alias("holders"))
+        return stored(
+            numbers.with_ids(spans.drop("holders").join(holders, "doc"), "doc").select("doc", "spans", "holders"),
+            "removed-spans",
+            outlives=True,
+        )
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -203,8 +220,11 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def without_spans(text: Column, spans: Column) -> Column:
-    @F.pandas_udf("string")
-    def cut_all(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None else cut(t, [(s["start"], s["end"]) for s in x]) for t, x in zip(texts, found)])
+    @F.arrow_udf("string")
+    def cut_all(texts: pa.Array, found: pa.Array) -> pa.Array:
+        left = [
+            t if t is None else cut(t, [(s["start"], s["end"]) for s in x]) for t, x in zip(texts.to_pylist(), found.to_pylist())
+        ]
+        return pa.array(left, pa.string())
 
     return cut_all(text, spans)

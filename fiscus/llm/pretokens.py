@@ -55,14 +55,23 @@ def special_pattern(strings: tuple[str, ...]) -> re.Pattern | None:
     return re.compile("(" + "|".join(map(re.escape, strings)) + ")") if strings else None
 
 
+MEMO_KEY = 64
+
+
 class Memo(dict):
-    """A dictionary that fills missing keys with a function and starts anew when it is full."""
+    """A dictionary that fills missing keys with a function and starts anew when it is full.
+
+    Keys longer than ``MEMO_KEY`` are worked out each time: they hardly recur, and in scripts without spaces
+    they are whole texts. So the bound on the number of entries bounds their bytes as well.
+    """
 
     def __init__(self, fill, most: int):
         super().__init__()
         self.fill, self.most = fill, most
 
     def __missing__(self, key):
+        if len(key) > MEMO_KEY:
+            return self.fill(key)
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.fill(key)

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import xxhash
 
-from fiscus.llm.pretokens import Memo
-
 SHINGLE_WORDS = 5
-MEMO_WORDS = 300_000
+WORDS_AT_ONCE = 50_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_word_hash = Memo(xxhash.xxh3_64_intdigest, MEMO_WORDS)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -24,6 +23,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(words: Iterable[bytes], count: int) -> np.ndarray:
+    """64-bit hashes of words; hashing one takes less time than looking it up among hundreds of thousands."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, count)
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of all runs of five words; A-Z are lower-cased, words end at ASCII white space.
 
@@ -32,7 +36,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
+    hashes = word_hashes(words, len(words))
     width = min(len(words), SHINGLE_WORDS)
     count = len(words) - width + 1
     folded = np.full(count, np.uint64(width))
@@ -41,6 +45,51 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed(folded))
 
 
+def shingles_of_all(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of ``shingles`` of many texts: hashes, strung together in order, and their number for each text.
+
+    Texts are taken together until they have ``WORDS_AT_ONCE`` words, so that short ones cost no step each.
+    """
+    group: list[list[bytes]] = []
+    waiting = 0
+    for text in texts:
+        group.append((text or "").encode().lower().split())
+        waiting += len(group[-1])
+        if waiting >= WORDS_AT_ONCE:
+            yield _sets_together(group)
+            group, waiting = [], 0
+    if group:
+        yield _sets_together(group)
+
+
+def _sets_together(group: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, group), np.int64, len(group))
+    counts = np.where(lengths < SHINGLE_WORDS, np.minimum(lengths, 1), lengths - SHINGLE_WORDS + 1)
+    total = int(lengths.sum())
+    hashes = word_hashes(chain.from_iterable(group), total)
+    values = np.empty(int(counts.sum()), np.uint64)
+    starts = np.cumsum(counts) - counts
+    if total >= SHINGLE_WORDS:
+        # All runs of five words, also those across texts; the latter are left out.
+        folded = np.full(total - SHINGLE_WORDS + 1, np.uint64(SHINGLE_WORDS))
+        for n in range(SHINGLE_WORDS):
+            folded *= _STEP
+            folded += hashes[n : n + len(folded)]
+        behind = np.repeat(np.cumsum(lengths), lengths)[: len(folded)] - np.arange(len(folded))
+        values[np.repeat(lengths >= SHINGLE_WORDS, counts)] = mixed(folded[behind >= SHINGLE_WORDS])
+    for k in np.flatnonzero((lengths > 0) & (lengths < SHINGLE_WORDS)).tolist():
+        folded = np.full(1, np.uint64(len(group[k])))
+        for hashed in word_hashes(group[k], len(group[k])):
+            folded = folded * _STEP + hashed
+        values[starts[k]] = mixed(folded)[0]
+    for start, end in zip(starts.tolist(), (starts + counts).tolist()):
+        values[start:end].sort()
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    fresh[starts[counts > 0]] = True
+    return values[fresh], np.bincount(np.repeat(np.arange(len(group)), counts)[fresh], minlength=len(group))
+
+
 def shared_count(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) > len(b):
@@ -87,26 +136,38 @@ class Scheme:
         tails = np.cumsum(mixture[::-1])[::-1]
         return int(np.flatnonzero(tails > 1e-8)[-1])
 
+    def samples_of_all(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The samples of many sets, one row for each; no set is empty."""
+        starts = np.cumsum(counts) - counts
+        found = np.empty((len(self._factors), len(counts)), np.uint64)
+        products = np.empty_like(values)
+        for n, factor in enumerate(self._factors):
+            np.multiply(values, factor, out=products)
+            np.minimum.reduceat(products, starts, out=found[n])
+        return found.T
+
     def samples(self, found: np.ndarray) -> np.ndarray:
-        least = np.full(len(self._factors), np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(found), 2048):
-            products = found[at : at + 2048, None] * self._factors[None, :]
-            np.minimum(least, products.min(axis=0), out=least)
-        return least
+        """The samples of one set."""
+        return self.samples_of_all(found, np.array([len(found)]))[0]
 
     def band_keys(self, samples: np.ndarray) -> np.ndarray:
-        """One key per band; keys of different bands differ as well."""
-        grid = samples.reshape(self.bands, self.rows)
-        folded = mixed(np.arange(1, self.bands + 1, dtype=np.uint64) * _STEP)
+        """One key per band, for each row of samples; keys of different bands differ as well."""
+        grid = samples.reshape(-1, self.bands, self.rows)
+        folded = np.broadcast_to(mixed(np.arange(1, self.bands + 1, dtype=np.uint64) * _STEP), grid.shape[:2])
         for n in range(self.rows):
-            folded = mixed(folded * _STEP + grid[:, n])
+            folded = mixed(folded * _STEP + grid[:, :, n])
         return folded.view(np.int64)
 
+    def sketches(self, samples: np.ndarray) -> list[bytes]:
+        """For each row of samples: every sample flips one bit, which gives the parity bitmap of the sample set."""
+        places = (mixed(samples + self._salts) % np.uint64(self.bits)).astype(np.int64)
+        places += np.arange(len(samples))[:, None] * self.bits
+        parity = np.bincount(places.ravel(), minlength=len(samples) * self.bits) & 1
+        packed = np.packbits(parity.astype(np.uint8).reshape(len(samples), self.bits), axis=1)
+        return [row.tobytes() for row in packed]
+
     def sketch(self, samples: np.ndarray) -> bytes:
-        """Every sample flips one bit: the parity bitmap of the sample set."""
-        places = mixed(samples + self._salts) % np.uint64(self.bits)
-        parity = np.bincount(places.astype(np.int64), minlength=self.bits) & 1
-        return np.packbits(parity.astype(np.uint8)).tobytes()
+        return self.sketches(samples[None, :])[0]
 
     def may_be_similar(self, odd_bits: np.ndarray) -> np.ndarray:
         return odd_bits <= self.most_odd_bits

@@ -35,6 +35,40 @@ def groups(texts: dict[int, str | None], percent: int) -> dict[int, int]:
     return {i: root(i) for i in ids}
 
 
+def removed_words(texts: dict[int, str], window: int = 20, percent: int = 80) -> dict[int, set[int]]:
+    """For each id the words that go: runs of ``window`` words that occur before, and what lies between two similar ones.
+
+    All windows are compared. Windows whose first places follow each other as they do are a run. Two runs are one passage if
+    they follow each other in one document further ahead as well, with at most ``window`` other words between them here,
+    and the whole has similar shingles there.
+    """
+    words = {i: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t)] for i, t in texts.items()}
+    first: dict[tuple, tuple[int, int]] = {}
+    gone: dict[int, set[int]] = {}
+    for i in sorted(words):
+        own, runs = words[i], []  # runs: from, to before, document and word of the first place
+        for n in range(len(own) - window + 1):
+            doc, at = first.setdefault(tuple(own[n : n + window]), (i, n))
+            if (doc, at) == (i, n):
+                continue
+            if runs and n <= runs[-1][1] and (doc, at - n) == (runs[-1][2], runs[-1][3] - runs[-1][0]):
+                runs[-1][1] = n + window
+            else:
+                runs.append([n, n + window, doc, at])
+        gone[i] = {n for start, end, *_ in runs for n in range(start, end)}
+        passage = None
+        for start, end, doc, at in runs:
+            if passage and passage[1] < start <= passage[1] + window and doc == passage[2] and at >= passage[4]:
+                here = shingle_set(" ".join(own[passage[0] : end]))
+                there = shingle_set(" ".join(words[doc][passage[3] : at + end - start]))
+                if 100 * len(here & there) >= percent * len(here | there):
+                    gone[i].update(range(passage[1], start))
+                    passage = [passage[0], end, doc, passage[3], at + end - start]
+                    continue
+            passage = [start, end, doc, at, at + end - start]
+    return gone
+
+
 def top_k(vectors: list[tuple[int, list[float] | None]], queries: list[int], k: int) -> list[tuple]:
     import math
 

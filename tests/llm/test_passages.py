@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from fiscus.llm.doc_numbers import numbered
 from fiscus.llm.paragraph_dedup import remove_repeats
 from fiscus.llm.passages import WINDOW, cut, joined_spans
+from tests.llm import reference_results
 
 
 def own(name, count):
@@ -106,3 +111,54 @@ def test_hard_wrapped_passage_goes(spark):
     assert found[1].text == rows[0][1]
     assert found[2].text.split() == own("c", 47) + own("d", 30)
     assert found[2].n_removed == 0 and [tuple(s) for s in found[2].removed_spans] == [(47, 72)]
+
+
+def test_removed_words_equal_brute_force(spark):
+    """Texts of many words with whole and changed passages inside long lines; what goes is exactly what comparing all windows gives."""
+    draw = random.Random(11)
+    passages = [own(f"p{k}", draw.randint(25, 120)) for k in range(14)]
+    texts = {}
+    for i in range(50):
+        words = []
+        for _ in range(draw.randint(1, 5)):
+            passage = list(draw.choice(passages))
+            start = draw.randrange(len(passage) // 2)
+            passage = passage[start : start + draw.randint(15, 120)]
+            for _ in range(draw.choice([0, 0, 1, 2])):
+                passage[draw.randrange(len(passage))] = f"new{draw.randrange(10**9)}"
+            words += [f"own{draw.randrange(10**9)}" for _ in range(draw.randint(0, 40))] + passage
+        texts[i * 3] = " ".join(words)
+    found = left(spark, list(texts.items()))
+    # Texts are single lines; some are similar as a whole and have gone as such.
+    gone = reference_results.removed_words({i: t for i, t in texts.items() if not found[i].n_removed})
+    for i, row in found.items():
+        if row.n_removed:
+            assert row.text == ""
+            continue
+        assert {n for s in row.removed_spans for n in range(s.start, s.end)} == gone[i]
+    assert sum(map(len, gone.values())) > 2000
+
+
+def test_ids_of_any_size_and_clashing_columns(spark):
+    passage = " ".join(own("p", 60))
+    line = " ".join(own("l", 30))
+    rows = [
+        (-(2**63), f"{' '.join(own('a', 30))} {passage}"), (2**63 - 1, f"{line}\n{passage} {' '.join(own('b', 30))}"), (0, line),
+        (5, "short"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    clashing = ("spans", "holders", "changed_doc", "cut_doc", "doc", "number", "position", "id", "Key", "place", "first")
+    found = {r.doc_id: r for r in remove_repeats(frame.withColumns({c: F.lit(f"own {c}") for c in clashing})).collect()}
+    assert found[2**63 - 1].text == " ".join(own("b", 30))
+    assert (found[2**63 - 1].removed, found[2**63 - 1].keep_doc_ids) == ([0], [-(2**63), 0])
+    assert all(found[i].text == t for i, t in rows if i != 2**63 - 1)
+    assert all(r[c] == f"own {c}" for r in found.values() for c in clashing)
+
+
+@pytest.mark.parametrize("ids", [[3, 4, 9], [-(2**63), 7, 2**63 - 1]])
+def test_places_keep_the_order_of_ids(spark, ids):
+    frame = spark.createDataFrame([(i, "x" * 1000) for i in ids], "doc long, text string")
+    texts, places = numbered(frame)
+    at = texts.select(places.place(F.col("number"), F.lit(999)).alias("place"), "number")
+    back = places.with_ids(at.select("place", "number", places.position(F.col("place")).alias("at")), "number").orderBy("place").collect()
+    assert [(r.number, r["at"]) for r in back] == [(i, 999) for i in ids]

@@ -153,6 +153,12 @@ def test_very_large_components_stay_exact(spark):
     )
 
 
+def test_scores_that_do_not_fit_stop_the_query(spark):
+    frame = spark.createDataFrame([(0, [1e15, 1.0]), (1, [-1e15, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="do not fit 64 bits"):
+        top_k(frame, frame.filter("vec_id = 0"), k=1).collect()
+
+
 def test_marks_miss_no_wanted_id_and_stay_bounded(spark, monkeypatch):
     wanted = spark.range(0, 3000, 3).union(spark.createDataFrame([(None,), (-5,)], "id long"))
     others = spark.range(-10, 9000).union(spark.createDataFrame([(None,)], "id long"))

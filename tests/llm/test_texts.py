@@ -161,6 +161,18 @@ def test_exact_dedup_against_a_growing_index(spark):
     assert deduplicate_batch(first.limit(0)).count() == 0
 
 
+def test_clashing_columns_and_no_table_left_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = [(2, "a  b"), (1, "a b"), (3, "c"), (None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("is_new", "kept", "known_id")})
+    found = {(r.doc_id, r.text): (r.keep_id, r.group_size, r.kept, r.is_new, r.known_id) for r in deduplicate_batch(docs).collect()}
+    assert found == {
+        (2, "a  b"): (1, 2, False, "own", "own"), (1, "a b"): (1, 2, True, "own", "own"), (3, "c"): (3, 2, True, "own", "own"),
+        (None, "c"): (3, 2, False, "own", "own"),
+    }
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_index_join_uses_the_buckets_and_no_python(spark):
     index = DigestIndex.open(spark, new_folder(spark, "index"), 4)
     plan = index.rows().join(index.rows().hint("merge"), "text_digest", "left_anti")
