@@ -40,7 +40,7 @@ def removed_words(texts: dict[int, str], window: int = 20, percent: int = 80) ->
 
     All windows are compared. Windows whose first places follow each other as they do are a run. Two runs are one passage if
     they follow each other in one document further ahead as well, with at most ``window`` other words between them here,
-    and the whole has similar shingles there.
+    and the whole is similar there: its places of five-word shingles within runs are the shared ones, all others differ.
     """
     words = {i: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t)] for i, t in texts.items()}
     first: dict[tuple, tuple[int, int]] = {}
@@ -58,14 +58,15 @@ def removed_words(texts: dict[int, str], window: int = 20, percent: int = 80) ->
         gone[i] = {n for start, end, *_ in runs for n in range(start, end)}
         passage = None
         for start, end, doc, at in runs:
+            own_places = end - start - 4
             if passage and passage[1] < start <= passage[1] + window and doc == passage[2] and at >= passage[4]:
-                here = shingle_set(" ".join(own[passage[0] : end]))
-                there = shingle_set(" ".join(words[doc][passage[3] : at + end - start]))
-                if 100 * len(here & there) >= percent * len(here | there):
+                here, there = end - passage[0] - 4, at + end - start - passage[3] - 4
+                shared = passage[5] + own_places
+                if shared >= percent / 100 * (here + there - shared):
                     gone[i].update(range(passage[1], start))
-                    passage = [passage[0], end, doc, passage[3], at + end - start]
+                    passage = [passage[0], end, doc, passage[3], at + end - start, shared]
                     continue
-            passage = [start, end, doc, at, at + end - start]
+            passage = [start, end, doc, at, at + end - start, own_places]
     return gone
 
 

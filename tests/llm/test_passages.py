@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fiscus.llm.doc_numbers import numbered
 from fiscus.llm.paragraph_dedup import remove_repeats
-from fiscus.llm.passages import WINDOW, cut, joined_spans
+from fiscus.llm.passages import WINDOW, SpanHashes, Stretches, cut, joined_spans
 from tests.llm import reference_results
 
 
@@ -83,6 +84,46 @@ def test_random_runs_equal_brute_force(spark):
     assert sum(map(len, gone.values())) > 3000
 
 
+def test_periodic_texts_equal_brute_force(spark):
+    """Stretches in which an anchor occurs again and again, alone and in copies that begin elsewhere in the period."""
+    draw = random.Random(8)
+    periods = [own(f"z{k}", k) for k in (1, 2, 3, 7, 12, 13, 14, 19, 20, 21, 25)]
+    texts = {}
+    for i in range(40):
+        period = draw.choice(periods)
+        turned = draw.randrange(len(period))
+        words = (period[turned:] + period[:turned]) * 60
+        texts[i] = "\n".join(own(f"o{i}", draw.randint(0, 15)) + words[: draw.randint(18, 110)] + own(f"e{i}", draw.randint(0, 15)))
+    gone = repeated_words(texts)
+    for i, row in left(spark, list(texts.items())).items():
+        spans = {n for s in row.removed_spans for n in range(s.start, s.end)}
+        assert gone[i] <= spans and len(spans - gone[i]) <= WINDOW * len(row.removed_spans)
+    assert sum(map(len, gone.values())) > 1000
+
+
+def test_stretches_cover_every_window_once():
+    draw = random.Random(4)
+    texts = [[b"w%d" % draw.randrange(draw.choice([2, 30, 10**6])) for _ in range(draw.choice([0, 5, 19, 20, 21, 300]))] for _ in range(40)]
+    found = Stretches(texts)
+    starts, counts = found.chosen(np.arange(len(found.starts)), np.ones(len(found.starts), bool))
+    text, word = found.places(starts)
+    windows = [(t, n) for t, words in enumerate(texts) for n in range(len(words) - WINDOW + 1)]
+    assert list(zip(text.tolist(), word.tolist())) == windows and set(counts.tolist()) == {1}
+    same: dict[tuple, set] = {}
+    for (t, n), *hashed in zip(windows, *found.hashes(starts, counts)):
+        same.setdefault(tuple(hashed), set()).add(tuple(texts[t][n : n + WINDOW]))
+    assert all(len(x) == 1 for x in same.values()) and len(same) == len({tuple(texts[t][n : n + WINDOW]) for t, n in windows})
+
+
+def test_span_hashes_depend_on_the_words_only():
+    words = np.arange(1, 250_000, dtype=np.uint64) % np.uint64(40)  # longer than the powers that are kept
+    hashes = SpanHashes(words, np.uint64(0x9E3779B97F4A7C15))
+    starts = np.array([3, 43, 200_003, 4])
+    assert len(set(hashes.of(starts, starts + 25).tolist())) == 2
+    assert (hashes.of_width(25)[starts] == hashes.of(starts, starts + 25)).all()
+    assert hashes.of(starts[:1], starts[:1] + 26) != hashes.of(starts[:1], starts[:1] + 25)
+
+
 def test_cut_keeps_line_breaks_around():
     assert cut("a b\nc d", [(1, 2)]) == "a\nc d" and cut("a b\nc d", [(2, 3)]) == "a b\nd"
     assert cut("a b c d", [(1, 3)]) == "a d" and cut(" a b ", [(0, 2)]) == "" and cut("a b\n", [(1, 2)]) == "a\n"
@@ -90,8 +131,6 @@ def test_cut_keeps_line_breaks_around():
 
 
 def test_spans_far_apart_or_from_other_documents_stay_apart():
-    import numpy as np
-
     starts = np.array([0, 1, 30, 31])
     assert joined_spans(starts, (1 << 24) + np.array([5, 6, 35, 36]), 80) == [(0, 21), (30, 51)]
     starts = np.array([0, 20, 41, 61])
