@@ -17,8 +17,8 @@ a bucket of many copies costs its size, not the square of it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +35,50 @@ BLOCK = 256
 PAIRS_PER_MEMBER = 4
 
 
-def signed(units: DataFrame, scheme: Scheme) -> DataFrame:
+@dataclass(frozen=True)
+class Units:
+    """The units that are compared: rows (``id``, ``text``), or the parts that ``cut`` makes of them in the tasks.
+
+    ``cut`` gives id and bytes of each part. Units of fewer words than ``least_words`` are left out.
+    """
+
+    rows: DataFrame | None
+    cut: Callable[[int, bytes], Iterable[tuple[int, bytes]]] | None = None
+    least_words: int = 0
+
+    def parts(self, batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+        for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            data = (text or "").encode()
+            yield from self.cut(number, data) if self.cut else ((number, data),)
+
+    def for_tasks(self) -> Units:
+        return replace(self, rows=None)
+
+
+def signed(units: Units, scheme: Scheme) -> DataFrame:
     """``id``, ``n_shingles``, ``digest`` of the shingle set, ``keys`` of the bands and ``sketch``; nulls and no keys without words."""
+    kind = units.for_tasks()
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids: list[int] = []
+
+            def words_of_units() -> Iterator[list[bytes]]:
+                for number, data in kind.parts(batch):
+                    words = data.lower().split()
+                    if len(words) >= kind.least_words:
+                        ids.append(number)
+                        yield words
+
             at = 0
-            for values, counts in shingles_of_all(batch.column(1).to_pylist()):
+            for values, counts in shingles_of_all(words_of_units()):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(counts)), *signed_sets(values, counts, scheme)],
+                    [pa.array(ids[at : at + len(counts)], pa.int64()), *signed_sets(values, counts, scheme)],
                     names=["id", "n_shingles", "digest", "keys", "sketch"],
                 )
                 at += len(counts)
 
-    return units.select("id", "text").mapInArrow(
+    return units.rows.select("id", "text").mapInArrow(
         signatures, "id long, n_shingles long, digest binary, keys array<long>, sketch binary"
     )
 
@@ -73,19 +103,24 @@ def signed_sets(values: np.ndarray, counts: np.ndarray, scheme: Scheme) -> list[
     ]
 
 
-def shingle_sets(units: DataFrame, wanted: DataFrame) -> DataFrame:
+def shingle_sets(units: Units, wanted: DataFrame) -> DataFrame:
     """``id`` and ``shingle_set`` of all units whose id is in ``wanted``, and of a few others; no text is shuffled."""
     marks = IdMarks(wanted)
+    kind = units.for_tasks()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chosen = batch.filter(pa.array(marks.hits(batch.column(0).to_numpy(zero_copy_only=False))))
-            found = [shingles(text).tobytes() for text in chosen.column(1).to_pylist()]
+            if not kind.cut:
+                batch = batch.filter(pa.array(marks.hits(batch.column(0).to_numpy(zero_copy_only=False))))
+            parts = list(kind.parts(batch))
+            ids = np.array([number for number, _ in parts], np.int64)
+            chosen = np.flatnonzero(marks.hits(ids))
+            found = [shingles(parts[n][1]).tobytes() for n in chosen.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [chosen.column(0), pa.array(found, pa.binary())], names=["id", "shingle_set"]
+                [pa.array(ids[chosen]), pa.array(found, pa.binary())], names=["id", "shingle_set"]
             )
 
-    return units.select("id", "text").mapInArrow(sets, "id long, shingle_set binary")
+    return units.rows.select("id", "text").mapInArrow(sets, "id long, shingle_set binary")
 
 
 def buckets(nodes: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -256,7 +291,7 @@ def _pair(columns: list) -> _Pair:
     return _Pair(tuple(int(c[0]) for c in columns[:3]), *columns[3:])
 
 
-def links_across_groups(units: DataFrame, blocks: DataFrame, signatures: DataFrame, scheme: Scheme) -> DataFrame:
+def links_across_groups(units: Units, blocks: DataFrame, signatures: DataFrame, scheme: Scheme) -> DataFrame:
     """Confirmed links between members of different groups; enough of them to join whatever belongs together.
 
     Where sketches leave few pairs of two blocks, the pairs are sent: the same
@@ -320,7 +355,7 @@ def links_across_groups(units: DataFrame, blocks: DataFrame, signatures: DataFra
     return links.union(sorted_by_pair(dense.join(own, "id").join(sets, "id")).mapInArrow(joining, "a long, b long"))
 
 
-def near_groups(units: DataFrame, scheme: Scheme, unique_ids: bool = False) -> DataFrame:
+def near_groups(units: DataFrame | Units, scheme: Scheme, unique_ids: bool = False) -> DataFrame:
     """``id``, ``n_shingles`` and ``component`` of every unit (``id`` not null, ``text``).
 
     ``component`` is the smallest id that confirmed links and equal sets
@@ -328,14 +363,17 @@ def near_groups(units: DataFrame, scheme: Scheme, unique_ids: bool = False) -> D
     with the greatest of its texts, and there is one result row for each of
     them; ``unique_ids`` says that there are none. Tables in between are deleted.
     """
-    with scratch(units.sparkSession), small_batches(units.sparkSession):
+    units = units if isinstance(units, Units) else Units(units)
+    spark = units.rows.sparkSession
+    with scratch(spark), small_batches(spark):
         return stored(_grouped(units, scheme, unique_ids), "near-groups", outlives=True)
 
 
-def _grouped(units: DataFrame, scheme: Scheme, unique_ids: bool) -> DataFrame:
-    if not unique_ids and not units.groupBy("id").count().filter("count > 1").isEmpty():
-        single = stored(units.groupBy("id").agg(F.max("text").alias("text")), "units")
-        return units.select("id").join(_grouped(single, scheme, unique_ids=True), "id")
+def _grouped(units: Units, scheme: Scheme, unique_ids: bool) -> DataFrame:
+    rows = units.rows
+    if not unique_ids and not rows.groupBy("id").count().filter("count > 1").isEmpty():
+        single = stored(rows.groupBy("id").agg(F.max("text").alias("text")), "units")
+        return rows.select("id").join(_grouped(replace(units, rows=single), scheme, unique_ids=True), "id")
     signatures = stored(signed(units, scheme), "signatures")
     # Joins with a hot key are split only if the other side is not grouped in the same stage, so it is stored first.
     equal = stored(

@@ -10,15 +10,14 @@ lines: they may lie inside a longer one or cross line breaks, and short lines be
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscus.llm.doc_numbers import Places, numbered
+from fiscus.llm.doc_numbers import numbered
 from fiscus.llm.marks import IdMarks
-from fiscus.llm.near_links import near_groups
+from fiscus.llm.near_links import Units, near_groups
 from fiscus.llm.passages import SPANS, repeated_spans, without_spans
 from fiscus.llm.signatures import Scheme
 from fiscus.shared import scratch, stored
@@ -30,20 +29,16 @@ PARAGRAPHS = Scheme(percent=80, bands=12, rows=4, bits=256)
 RESULTS = ("n_paragraphs", "n_removed", "removed", "removed_spans", "keep_doc_ids")
 
 
-def paragraphs(texts: DataFrame, places: Places, min_words: int) -> DataFrame:
-    """``id`` (the place of a line) and ``text`` of every paragraph that is long enough."""
-    lines = texts.select("number", F.posexplode(F.split("text", "\n")).alias("position", "text"))
-    return lines.filter((F.length("text") >= 2 * min_words - 1) & (word_count(F.col("text")) >= min_words)).select(
-        places.place(F.col("number"), F.col("position")).alias("id"), "text"
-    )
+def lines_of_text(bits: int, least_bytes: int) -> Callable[[int, bytes], Iterator[tuple[int, bytes]]]:
+    """Cuts a text into lines with their places (document number and position in ``bits``); shorter ones are left out."""
 
+    def cut(number: int, data: bytes) -> Iterator[tuple[int, bytes]]:
+        first = number << bits
+        for position, line in enumerate(data.split(b"\n")):
+            if len(line) >= least_bytes:
+                yield first + position, line
 
-def word_count(line: Column) -> Column:
-    """Words of a line; where single spaces are the only white space, the spaces are counted, which is much faster than cutting."""
-    odd = reduce(or_, [F.contains(line, F.lit(white)) for white in ("  ", "\t", "\x0b", "\x0c", "\r")])
-    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    cut = F.size(F.split(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+"))
-    return F.when(odd | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")), cut).otherwise(spaces + 1)
+    return cut
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -135,7 +130,10 @@ def repeated_lines(plain: DataFrame, scheme: Scheme, min_words: int) -> DataFram
     """``doc``, ``removed`` (positions of lines) and ``keep_doc_ids`` of documents with similar lines further ahead."""
     with scratch(plain.sparkSession):
         texts, places = numbered(plain)
-        groups = near_groups(paragraphs(texts, places, min_words), scheme, unique_ids=True).filter("id <> component")
+        # A line of that many words has a byte for each of them and for each space between.
+        lines = lines_of_text(places.bits, 2 * min_words - 1)
+        paragraphs = Units(texts.select(F.col("number").alias("id"), "text"), lines, min_words)
+        groups = near_groups(paragraphs, scheme, unique_ids=True).filter("id <> component")
         gone = groups.select(
             places.number(F.col("id")).alias("doc"),
             places.position(F.col("id")).alias("position"),

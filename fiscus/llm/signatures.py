@@ -28,12 +28,12 @@ def word_hashes(words: Iterable[bytes], count: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, count)
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | bytes | None) -> np.ndarray:
     """Sorted distinct hashes of all runs of five words; A-Z are lower-cased, words end at ASCII white space.
 
     Fewer words are one shingle of their own kind; no word gives none.
     """
-    words = (text or "").encode().lower().split()
+    words = (text if isinstance(text, bytes) else (text or "").encode()).lower().split()
     if not words:
         return np.empty(0, np.uint64)
     hashes = word_hashes(words, len(words))
@@ -45,16 +45,16 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed(folded))
 
 
-def shingles_of_all(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The sets of ``shingles`` of many texts: hashes, strung together in order, and their number for each text.
+def shingles_of_all(texts: Iterable[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of many texts, given as words: hashes, strung together in order, and their number for each text.
 
     Texts are taken together until they have ``WORDS_AT_ONCE`` words, so that short ones cost no step each.
     """
     group: list[list[bytes]] = []
     waiting = 0
-    for text in texts:
-        group.append((text or "").encode().lower().split())
-        waiting += len(group[-1])
+    for words in texts:
+        group.append(words)
+        waiting += len(words)
         if waiting >= WORDS_AT_ONCE:
             yield _sets_together(group)
             group, waiting = [], 0
