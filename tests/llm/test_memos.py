@@ -37,7 +37,8 @@ def test_memos_hold_no_unspaced_texts():
     for text in texts:
         ids = library.encode(text, add_special_tokens=False).ids
         assert encoder.encode(text)[0] == b"".join(i.to_bytes(4, "little") for i in ids)
-        assert sum(n * c for n, c in zip(counter.pieces(list(found := counter.frequencies([text]))), found.values())) == len(ids)
+        found = counter.frequencies([text])
+        assert sum(n * c for n, c in zip(counter.pieces(list(found)), found.values())) == len(ids)
     words, packed = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     for at in range(0, len(texts), 50):
         wanted = [b"".join(i.to_bytes(4, "little") for i in words.encode(t, add_special_tokens=False).ids) for t in texts[at : at + 50]]
