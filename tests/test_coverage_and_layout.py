@@ -13,6 +13,7 @@ from fiscus.plans.catalogue import CATALOGUE, rule_by_id
 from fiscus.plans.projection_plan import project_revenue
 from fiscus.plans.scenarios import SCENARIO, project_scenarios
 from fiscus.schema import BUDGETED, COLLECTED, COLLECTED_DEDUCTION, KEYS, ORIGIN, YEAR, Horizon
+from fiscus.sinks import layout
 from fiscus.sinks.layout import write_fact_table
 from fiscus.sources.parameters import Parameters
 from testbed.lineitem_fact import fact_from_lineitem
@@ -69,3 +70,19 @@ def test_scenarios_equal_single_runs_from_one_scan(spark):
         own = sorted(repr(tuple(r)[1:]) for r in rows if r[SCENARIO] == name)
         assert own == sorted(repr(tuple(r)) for r in project_revenue(fact, given).collect())
     assert len(CATALOGUE) == 40
+
+
+def test_a_large_key_of_the_bucketed_table_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "BYTES_OF_A_TASK", "20k")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    amount = (F.rand(3) * 1000).cast("decimal(20,2)")
+    rows = spark.range(0, 16_000, 1, 8).join(F.broadcast(make_fact(spark, [fact_row()])))
+    fact = rows.withColumn(COLLECTED, amount).drop("id").localCheckpoint()
+    table = write_fact_table(fact, "one_key", 4, str(tmp_path / "fact"))
+    assert len(table.inputFiles()) > 1  # one task sorted all rows of the key before
+    found = table.groupBy(*KEYS).agg(F.sum(COLLECTED), F.count("*"))
+    assert "Exchange" not in plan_of(found)
+    assert found.collect() == fact.groupBy(*KEYS).agg(F.sum(COLLECTED), F.count("*")).collect()
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+    assert layout.buckets_for(600_000) == 8 and layout.buckets_for(216_000_000) == 108
+    spark.sql("DROP TABLE one_key")
