@@ -19,6 +19,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fiscus.llm.pretokens import MEMO_KEY, sections, special_pattern, words
-from fiscus.shared import stored
+from fiscus.llm.pretokens import MEMO_KEY, WORD_LEVEL, sections, special_pattern, word_level_pretokens, words
+from fiscus.shared import small_batches, stored
 
 MEMO_WORDS = 500_000
 PIECE_COLUMNS = ["start", "length", "ids_crc32", "doc_tokens"]
@@ -40,6 +41,7 @@ class WordEncoder:
     Unknown pre-tokens are encoded many at a time, with spaces between them;
     the last piece of each ends with the vocabulary's mark of a word's end. Words and pre-tokens longer than
     ``MEMO_KEY``, in scripts without spaces whole texts, are forgotten after their batch, so the memos are bounded in bytes.
+    ``clear`` empties them at the end of a task.
     """
 
     def __init__(self, path: str):
@@ -49,7 +51,7 @@ class WordEncoder:
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.pattern = special_pattern(tuple(sorted(self.special, key=len, reverse=True)))
         (cut,) = [p["pattern"]["Regex"] for p in described["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.pretokens = regex.compile(cut).findall
+        self.pretokens = word_level_pretokens if cut == WORD_LEVEL else regex.compile(cut).findall
         vocabulary = described["model"]["vocab"]
         self.ends = np.zeros(1 + max(vocabulary.values()), bool)
         self.ends[[n for token, n in vocabulary.items() if token.endswith(ending)]] = True
@@ -69,26 +71,28 @@ class WordEncoder:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode all words of the texts that the memo lacks."""
-        missing = set().union(*texts).difference(self.memo)
+        missing = set(filterfalse(self.memo.__contains__, chain.from_iterable(texts)))
         if len(self.memo) + len(missing) > MEMO_WORDS:
             self.memo.clear()
-            missing = set().union(*texts)
-        cut = {word: self.pretokens(word) for word in missing}
-        unknown = list({part for parts in cut.values() for part in parts}.difference(self.pieces))
+            missing = set(chain.from_iterable(texts))
+        cut = [(word, self.pretokens(word)) for word in missing]
+        unknown = list(set(chain.from_iterable(parts for _, parts in cut)).difference(self.pieces))
         if len(self.pieces) + len(unknown) > MEMO_WORDS:
             self.pieces.clear()
-            unknown = list({part for parts in cut.values() for part in parts})
+            unknown = list(set(chain.from_iterable(parts for _, parts in cut)))
         if unknown:
             ids = self.tokenizer.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids
             raw, ends = np.array(ids, "<u4"), np.flatnonzero(self.ends[ids]) * 4 + 4
             if len(ends) != len(unknown):
                 raise ValueError("the vocabulary does not mark the end of each pre-token")
-            raw = raw.tobytes()
-            self.pieces.update(zip(unknown, (raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist()))))
+            raw, ends = raw.tobytes(), ends.tolist()
+            self.pieces.update(zip(unknown, (raw[a:b] for a, b in zip([0, *ends], ends))))
         self.long_pieces += [part for part in unknown if len(part) > MEMO_KEY]
         self.long_words += [word for word in missing if len(word) > MEMO_KEY]
-        pieces = self.pieces.__getitem__
-        self.memo.update((word, b"".join(map(pieces, parts))) for word, parts in cut.items())
+        pieces, memo = self.pieces, self.memo
+        for word, parts in cut:
+            # A word that is one pre-token shares its ids with it.
+            memo[word] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[part] for part in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -118,6 +122,12 @@ class WordEncoder:
             keys.clear()
 
 
+    def clear(self) -> None:
+        """Empty the memos: idle workers outlive a stage, and those of several stages share an executor's memory."""
+        self.memo.clear()
+        self.pieces.clear()
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
     """One encoder for each worker process and vocabulary."""
@@ -131,24 +141,27 @@ def cut_pieces(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = word_encoder(path), end_id.to_bytes(4, "little")
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                row, starts, lengths, sums, totals = [], [], [], [], []
-                for k, ids in enumerate(own.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, capacity):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        row.append(k)
-                        starts.append(start)
-                        lengths.append(len(piece) // 4)
-                        sums.append(zlib.crc32(piece))
-                        totals.append(total)
-                numbers = [pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int64())), *numbers], names=[id_col, *PIECE_COLUMNS]
-                )
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    row, starts, lengths, sums, totals = [], [], [], [], []
+                    for k, ids in enumerate(own.encode([t or "" for t in part.column(1).to_pylist()])):
+                        ids += end
+                        total = len(ids) // 4
+                        for start in range(0, total, capacity):
+                            piece = ids[4 * start : 4 * (start + capacity)]
+                            row.append(k)
+                            starts.append(start)
+                            lengths.append(len(piece) // 4)
+                            sums.append(zlib.crc32(piece))
+                            totals.append(total)
+                    numbers = [pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals)]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(row, pa.int64())), *numbers], names=[id_col, *PIECE_COLUMNS]
+                    )
+        finally:
+            own.clear()
 
     kept = docs.select(id_col, text_col)
     columns = ", ".join(f"{name} long" for name in PIECE_COLUMNS)
@@ -254,7 +267,8 @@ def pack(
     alone. Rows that repeat an id are packed each on its own; null ids are
     allowed. An empty table gives an empty result; further columns are ignored.
     """
-    pieces = stored(cut_pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = stored(cut_pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
     # At most ``capacity`` rows, so the plan may be made on the driver.
     histogram = {row["length"]: row["count"] for row in pieces.groupBy("length").count().collect()}
     slots = docs.sparkSession.createDataFrame(

@@ -16,12 +16,15 @@ import regex
 # pre-token pattern of the byte-level vocabulary.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _SPACE_WITHIN_RUN = re.compile(f"[{WHITE}] [{WHITE}]")
 _WORD = re.compile(f"[^{WHITE}]+")
 _UNSURE = re.compile("[\x1c-\x1f]")
 _BYTE_LEVEL = regex.compile(BYTE_LEVEL)
+_WORD_LEVEL = regex.compile(WORD_LEVEL)
 
 
 def spaced_chunks(text: str) -> tuple[list[str], list[str]]:
@@ -42,9 +45,25 @@ def words(text: str) -> list[str]:
 
 
 def byte_level_pretokens(chunk: str) -> list[str]:
+    # ASCII letters with at most one mark after them are most chunks and need no pattern.
+    if chunk.isascii():
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha():
+            return [chunk]
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
     return _BYTE_LEVEL.findall(chunk)
 
 
+def word_level_pretokens(word: str) -> list[str]:
+    if word.isascii():
+        if word.isalpha():
+            return [word]
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+    return _WORD_LEVEL.findall(word)
+
+
 def sections(text: str, special: re.Pattern | None) -> list[str]:
     """The text cut at special strings, which stand at odd places; one section if there are none."""
     return special.split(text) if special else [text]

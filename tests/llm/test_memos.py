@@ -5,11 +5,14 @@ from __future__ import annotations
 import random
 
 import public_tokenizers
+import pyarrow as pa
+import regex
 from tokenizers import Tokenizer
 
 from fiscus.llm.bpe import Encoder
+from fiscus.llm import packing, pretokens
 from fiscus.llm.packing import WordEncoder
-from fiscus.llm.pretokens import MEMO_KEY, Memo
+from fiscus.llm.pretokens import BYTE_LEVEL, MEMO_KEY, WORD_LEVEL, Memo
 from fiscus.llm.token_counts import PretokenCounter
 
 
@@ -45,3 +48,41 @@ def test_memos_hold_no_unspaced_texts():
         assert packed.encode(texts[at : at + 50]) == wanted
     memos = [encoder.pretokens, encoder.chunks, encoder.spaced, counter.chunks, counter.spaced, packed.memo, packed.pieces]
     assert all(len(key) <= MEMO_KEY for memo in memos for key in memo)
+
+
+def test_plain_words_are_cut_without_the_pattern(monkeypatch):
+    draw = random.Random(4)
+    parts = ["ab", "Z", "'s", "'", "é", "ſ", "1", ",", "_", "\x1c", "\x85", "\t", " ", "中", "$"]
+    for _ in range(5000):
+        word = "".join(draw.choices(parts, k=draw.randint(0, 5)))
+        assert pretokens.word_level_pretokens(word) == regex.findall(WORD_LEVEL, word)
+        assert pretokens.byte_level_pretokens(word) == regex.findall(BYTE_LEVEL, word)
+        assert pretokens.byte_level_pretokens(" " + word) == regex.findall(BYTE_LEVEL, " " + word)
+    monkeypatch.setattr(pretokens, "_BYTE_LEVEL", None)
+    monkeypatch.setattr(pretokens, "_WORD_LEVEL", None)
+    assert pretokens.byte_level_pretokens(" Word,") == [" Word", ","] and pretokens.byte_level_pretokens("x") == ["x"]
+    assert pretokens.word_level_pretokens("word.") == ["word", "."]
+
+
+class OneTask:
+    """Hands the function of ``mapInArrow`` its batches, as a task does."""
+
+    dtypes = [("doc_id", "bigint"), ("text", "string")]
+
+    def __init__(self, rows):
+        self.rows = rows
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, function, schema):  # noqa: N802
+        batch = pa.RecordBatch.from_pylist(self.rows, pa.schema({"doc_id": pa.int64(), "text": pa.string()}))
+        return [row for found in function(iter([batch, batch])) for row in found.to_pylist()]
+
+
+def test_no_memo_outlives_its_packing_task():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = packing.cut_pieces(OneTask([{"doc_id": 1, "text": "some words, some more"}, {"doc_id": 2, "text": None}]), path, 4, 2)
+    assert [r["length"] for r in found] == [4, 2, 1, 4, 2, 1]
+    own = packing.word_encoder(path)
+    assert not own.memo and not own.pieces
