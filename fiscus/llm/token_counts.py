@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fiscus.llm.pretokens import Memo, byte_level_pretokens, sections, spaced_chunks, special_pattern
+from fiscus.llm.pretokens import MEMO_KEY, Memo, byte_level_pretokens, sections, spaced_chunks, special_pattern
 from fiscus.shared import stored
 
 FREQUENT = 1_000_000
 FREQUENT_CHARS = 64  # longer pre-tokens are never broadcast, so the table's bytes are bounded too
 MEMO_CHUNKS = 300_000
+MEMO_CUTS = 50_000
 DISTINCT_IN_TASK = 400_000
+CHARS_IN_TASK = 32_000_000
 TEXTS_AT_ONCE = 512
 
 
@@ -43,8 +45,8 @@ class PretokenCounter:
         self.special = special_pattern(tuple(sorted((t.content for t in added), key=len, reverse=True)))
         self.names = {t.content for t in added}
         self.separator = max(self.names, key=len, default="")
-        self.chunks = Memo(byte_level_pretokens, MEMO_CHUNKS)
-        self.spaced = Memo(lambda chunk: byte_level_pretokens(" " + chunk), MEMO_CHUNKS)
+        self.chunks = Memo(byte_level_pretokens, MEMO_CUTS)
+        self.spaced = Memo(lambda chunk: byte_level_pretokens(" " + chunk), MEMO_CUTS)
 
     def chunks_of(self, text: str, plain: list[str], spaced: list[str], special: list[str]) -> None:
         """Sort the text's parts into chunks, chunks after a single space, and special strings."""
@@ -58,17 +60,9 @@ class PretokenCounter:
 
     def frequencies(self, texts: list[str]) -> Counter:
         """How often each pre-token occurs; special strings are pre-tokens of their own."""
-        plain: list[str] = []
-        spaced: list[str] = []
-        special: list[str] = []
-        for text in texts:
-            self.chunks_of(text, plain, spaced, special)
-        found = Counter(special)
-        for memo, chunks in ((self.chunks, plain), (self.spaced, spaced)):
-            for chunk, n in Counter(chunks).items():
-                for pretoken in memo[chunk]:
-                    found[pretoken] += n
-        return found
+        seen = ChunkCounts(self)
+        seen.add(texts)
+        return seen.pretokens()
 
     def split_frequencies(self, text: str, known: KnownPieces) -> tuple[int, Counter]:
         """Pieces of all known pre-tokens of a text, and the frequencies of the others."""
@@ -77,12 +71,12 @@ class PretokenCounter:
         special: list[str] = []
         self.chunks_of(text, plain, spaced, special)
         sure, rare = len(special), Counter()
-        for memo, chunks in ((known.chunks, plain), (known.spaced, spaced)):
-            for chunk, n in Counter(chunks).items():
-                each, others = memo[chunk]
-                sure += n * each
-                for pretoken in others:
-                    rare[pretoken] += n
+        for pieces, chunks in ((known.chunks, plain), (known.spaced, spaced)):
+            sure += sum(map(pieces.__getitem__, chunks))
+            for chunk in filter(pieces.others.__contains__, chunks):
+                for pretoken in pieces.others[chunk]:
+                    rare[pretoken] += 1
+            pieces.trim()
         return sure, rare
 
     def pieces(self, pretokens: list[str]) -> list[int]:
@@ -96,17 +90,80 @@ class PretokenCounter:
         return [1 if p in self.names else next(lengths) for p in pretokens]
 
 
+class ChunkCounts:
+    """Frequencies of the chunks of many texts; each distinct chunk is cut into pre-tokens once, at the end."""
+
+    def __init__(self, own: PretokenCounter):
+        self.own, self.special, self.chars = own, Counter(), 0
+        self.plain: Counter = Counter()
+        self.spaced: Counter = Counter()
+
+    def add(self, texts: list[str]) -> None:
+        plain: list[str] = []
+        spaced: list[str] = []
+        special: list[str] = []
+        for text in texts:
+            self.own.chunks_of(text, plain, spaced, special)
+            self.chars += len(text)
+        self.plain.update(plain)
+        self.spaced.update(spaced)
+        self.special.update(special)
+
+    def is_full(self) -> bool:
+        """Bounded in number and, as keys are parts of the texts, in bytes."""
+        return len(self.plain) + len(self.spaced) >= DISTINCT_IN_TASK or self.chars >= CHARS_IN_TASK
+
+    def pretokens(self) -> Counter:
+        found = Counter(self.special)
+        for memo, counts in ((self.own.chunks, self.plain), (self.own.spaced, self.spaced)):
+            for chunk, n in counts.items():
+                for pretoken in memo[chunk]:
+                    found[pretoken] += n
+        return found
+
+
+class ChunkPieces(dict):
+    """For each chunk the pieces of its known pre-tokens; in ``others`` its other pre-tokens, if it has any.
+
+    Chunks longer than ``MEMO_KEY`` are forgotten after their text, all when there are too many.
+    """
+
+    def __init__(self, pieces: dict[str, int], before: str):
+        super().__init__()
+        self.pieces, self.before = pieces, before
+        self.others: dict[str, list[str]] = {}
+        self.long: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        total, others = 0, []
+        for pretoken in byte_level_pretokens(self.before + chunk):
+            n = self.pieces.get(pretoken)
+            if n is None:
+                others.append(pretoken)
+            else:
+                total += n
+        if others:
+            self.others[chunk] = others
+        if len(chunk) > MEMO_KEY:
+            self.long.append(chunk)
+        self[chunk] = total
+        return total
+
+    def trim(self) -> None:
+        for chunk in self.long:
+            del self[chunk]
+            self.others.pop(chunk, None)
+        self.long.clear()
+        if len(self) > MEMO_CHUNKS:
+            self.clear()
+            self.others.clear()
+
+
 class KnownPieces:
-    """For each chunk: the pieces of its known pre-tokens, and its other pre-tokens."""
+    """Chunks as they are, and chunks that a single space precedes."""
 
     def __init__(self, pieces: dict[str, int]):
-        self.pieces = pieces
-        self.chunks = Memo(lambda chunk: self._split(byte_level_pretokens(chunk)), MEMO_CHUNKS)
-        self.spaced = Memo(lambda chunk: self._split(byte_level_pretokens(" " + chunk)), MEMO_CHUNKS)
-
-    def _split(self, pretokens: list[str]) -> tuple[int, tuple[str, ...]]:
-        pieces = self.pieces
-        return sum(pieces.get(p, 0) for p in pretokens), tuple(p for p in pretokens if p not in pieces)
+        self.chunks, self.spaced = ChunkPieces(pieces, ""), ChunkPieces(pieces, " ")
 
 
 def _runs(ids: list[int], between: int) -> Iterator[int]:
@@ -131,15 +188,15 @@ def pretoken_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFr
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
-        seen: Counter = Counter()
+        seen = ChunkCounts(own)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 texts = batch.column(0).slice(at, TEXTS_AT_ONCE).to_pylist()
-                seen.update(own.frequencies([text or "" for text in texts]))
-                if len(seen) >= DISTINCT_IN_TASK:
-                    yield _counted(seen)
-                    seen = Counter()
-        yield _counted(seen)
+                seen.add([text or "" for text in texts])
+                if seen.is_full():
+                    yield _counted(seen.pretokens())
+                    seen = ChunkCounts(own)
+        yield _counted(seen.pretokens())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)

@@ -13,7 +13,7 @@ from fiscus.llm.bpe import Encoder
 from fiscus.llm import packing, pretokens
 from fiscus.llm.packing import WordEncoder
 from fiscus.llm.pretokens import BYTE_LEVEL, MEMO_KEY, WORD_LEVEL, Memo
-from fiscus.llm.token_counts import PretokenCounter
+from fiscus.llm.token_counts import ChunkCounts, KnownPieces, PretokenCounter
 
 
 def unspaced(count, length, seed=1):
@@ -64,6 +64,24 @@ def test_plain_words_are_cut_without_the_pattern(monkeypatch):
     assert pretokens.word_level_pretokens("word.") == ["word", "."]
 
 
+def test_chunks_are_counted_together_and_split_as_the_pattern_says():
+    own = PretokenCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["the cat, the dog", "a  b\tthe cat!", "", "x" * 100 + " the<|endoftext|> it's"]
+    together = ChunkCounts(own)
+    for text in texts:
+        together.add([text])
+    found = together.pretokens()
+    assert found == own.frequencies(texts) == sum((own.frequencies([t]) for t in texts), type(found)())
+    known = KnownPieces({" the": 1, "'s": 3})
+    for _ in range(2):
+        for text in texts:
+            sure, rare = own.split_frequencies(text, known)
+            counts = own.frequencies([text])
+            special = counts.pop("<|endoftext|>", 0)
+            assert sure == special + counts.pop(" the", 0) + 3 * counts.pop("'s", 0) and rare == counts
+    assert all(len(key) <= MEMO_KEY for memo in (known.chunks, known.spaced) for key in (*memo, *memo.others))
+
+
 class OneTask:
     """Hands the function of ``mapInArrow`` its batches, as a task does."""
 
