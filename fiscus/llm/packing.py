@@ -19,29 +19,31 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fiscus.llm.pretokens import MEMO_KEY, WORD_LEVEL, sections, special_pattern, word_level_pretokens, words
+from fiscus.llm.pretokens import MEMO_KEY, WORD_LEVEL, Memo, sections, special_pattern, word_level_cut, words
 from fiscus.shared import small_batches, stored
 
 MEMO_WORDS = 500_000
+SLICE_BYTES = 4_000_000
 PIECE_COLUMNS = ["start", "length", "ids_crc32", "doc_tokens"]
 
 
 class WordEncoder:
-    """Ids of a vocabulary that lower-cases and drops white space, with memos of words and pre-tokens.
+    """Ids of a vocabulary that lower-cases and drops white space, with a memo of pre-tokens.
 
-    Unknown pre-tokens are encoded many at a time, with spaces between them;
-    the last piece of each ends with the vocabulary's mark of a word's end. Words and pre-tokens longer than
-    ``MEMO_KEY``, in scripts without spaces whole texts, are forgotten after their batch, so the memos are bounded in bytes.
-    ``clear`` empties them at the end of a task.
+    Each different pre-token of a batch is looked up once. Unknown ones are encoded many at a time;
+    the last piece of each ends with the vocabulary's mark of a word's end. Pre-tokens longer than
+    ``MEMO_KEY``, in scripts without spaces whole texts, are not remembered, so the memo is bounded in bytes.
+    ``clear`` empties it at the end of a task.
     """
 
     def __init__(self, path: str):
@@ -50,77 +52,74 @@ class WordEncoder:
         ending = described["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.pattern = special_pattern(tuple(sorted(self.special, key=len, reverse=True)))
-        (cut,) = [p["pattern"]["Regex"] for p in described["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.pretokens = word_level_pretokens if cut == WORD_LEVEL else regex.compile(cut).findall
+        (split,) = [p for p in described["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        cut = split["pattern"]["Regex"]
+        self.cut = word_level_cut if cut == WORD_LEVEL else self.cut_words
+        self.memo = Memo(regex.compile(cut).findall, MEMO_WORDS)  # words of other patterns
         vocabulary = described["model"]["vocab"]
         self.ends = np.zeros(1 + max(vocabulary.values()), bool)
         self.ends[[n for token, n in vocabulary.items() if token.endswith(ending)]] = True
-        described["normalizer"] = None  # words are normalised before they are looked up
+        described["pre_tokenizer"]["pretokenizers"].remove(split)
         self.tokenizer = Tokenizer.from_str(json.dumps(described))
-        self.memo: dict[str, bytes] = {}
+        self.normalizer = self.tokenizer.normalizer
+        self.tokenizer.normalizer = None  # texts are normalised and cut before they are encoded
         self.pieces: dict[str, bytes] = {}
-        self.long_words: list[str] = []
-        self.long_pieces: list[str] = []
 
-    @staticmethod
-    def normalised(section: str) -> str:
+    def normalised(self, section: str) -> str:
         """Composed and lower-cased character by character; a final sigma is an ordinary one."""
-        if not section.isascii() and not unicodedata.is_normalized("NFC", section):
-            section = unicodedata.normalize("NFC", section)
+        if not section.isascii():
+            if not section.replace("\n", "").isprintable() and any(unicodedata.category(c) == "Cn" for c in set(section)):
+                return self.normalizer.normalize_str(section)  # characters that the library may know and Python does not
+            if not unicodedata.is_normalized("NFC", section):
+                section = unicodedata.normalize("NFC", section)
         return section.replace("Σ", "σ").lower()
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode all words of the texts that the memo lacks."""
-        missing = set(filterfalse(self.memo.__contains__, chain.from_iterable(texts)))
-        if len(self.memo) + len(missing) > MEMO_WORDS:
-            self.memo.clear()
-            missing = set(chain.from_iterable(texts))
-        cut = [(word, self.pretokens(word)) for word in missing]
-        unknown = list(set(chain.from_iterable(parts for _, parts in cut)).difference(self.pieces))
-        if len(self.pieces) + len(unknown) > MEMO_WORDS:
-            self.pieces.clear()
-            unknown = list(set(chain.from_iterable(parts for _, parts in cut)))
-        if unknown:
-            ids = self.tokenizer.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids
-            raw, ends = np.array(ids, "<u4"), np.flatnonzero(self.ends[ids]) * 4 + 4
+    def cut_words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Pre-tokens of all texts in one row, and how many of them stand before each text and in all."""
+        cut = [[part for word in words(text) for part in self.memo[word]] for text in texts]
+        return pa.array(chain.from_iterable(cut), pa.large_string()), np.cumsum([0, *map(len, cut)])
+
+    def learn(self, pretokens: list[str]) -> list[bytes]:
+        """The ids of different pre-tokens, those that are not remembered encoded together."""
+        found = list(map(self.pieces.get, pretokens))
+        missing = [k for k, piece in enumerate(found) if piece is None]
+        if missing:
+            unknown = [pretokens[k] for k in missing]
+            ids = self.tokenizer.encode_batch_fast([unknown], is_pretokenized=True, add_special_tokens=False)[0].ids
+            raw = np.array(ids, "<u4")
+            ends = np.flatnonzero(self.ends[raw]) * 4 + 4
             if len(ends) != len(unknown):
                 raise ValueError("the vocabulary does not mark the end of each pre-token")
             raw, ends = raw.tobytes(), ends.tolist()
-            self.pieces.update(zip(unknown, (raw[a:b] for a, b in zip([0, *ends], ends))))
-        self.long_pieces += [part for part in unknown if len(part) > MEMO_KEY]
-        self.long_words += [word for word in missing if len(word) > MEMO_KEY]
-        pieces, memo = self.pieces, self.memo
-        for word, parts in cut:
-            # A word that is one pre-token shares its ids with it.
-            memo[word] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[part] for part in parts])
+            if len(self.pieces) + len(unknown) > MEMO_WORDS:
+                self.pieces.clear()
+            for k, word, a, b in zip(missing, unknown, [0, *ends], ends):
+                found[k] = raw[a:b]
+                if len(word) <= MEMO_KEY:
+                    self.pieces[word] = found[k]
+        return found
+
+    def encode_sections(self, texts: list[str]) -> list[bytes]:
+        """The ids of normalised texts without special strings."""
+        cut, upto = self.cut(texts)
+        coded = cut.dictionary_encode()
+        which, pieces = coded.indices.to_numpy(), self.learn(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = np.frombuffer(b"".join(pieces), "<u4")
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        firsts, counts = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        raw = ids[np.arange(ends[-1]) + np.repeat(firsts - ends[:-1], counts)].tobytes()
+        bounds = (ends[upto] * 4).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [
-            [s if s in self.special else words(self.normalised(s)) for s in sections(text, self.pattern)]
-            for text in texts
-        ]
-        self.learn([s for parts in cut for s in parts if isinstance(s, list)])
-        memo = self.memo.__getitem__
-        found = [
-            b"".join(
-                [
-                    self.special[s].to_bytes(4, "little") if isinstance(s, str) else b"".join(map(memo, s))
-                    for s in parts
-                ]
-            )
+        cut = [sections(text, self.pattern) for text in texts]
+        found = iter(self.encode_sections([self.normalised(s) for parts in cut for s in parts if s not in self.special]))
+        return [
+            b"".join([self.special[s].to_bytes(4, "little") if s in self.special else next(found) for s in parts])
             for parts in cut
         ]
-        self.forget()
-        return found
-
-    def forget(self) -> None:
-        """Drop the long words and pre-tokens of the batch, which hardly recur."""
-        for known, keys in ((self.memo, self.long_words), (self.pieces, self.long_pieces)):
-            for key in keys:
-                del known[key]
-            keys.clear()
-
 
     def clear(self) -> None:
         """Empty the memos: idle workers outlive a stage, and those of several stages share an executor's memory."""
@@ -134,6 +133,14 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``SLICE_BYTES`` of text, however many rows that are."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    turn = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES, prepend=-1)).tolist()
+    for at, until in zip(turn, [*turn[1:], batch.num_rows]):
+        yield batch.slice(at, until - at)
+
+
 def cut_pieces(
     docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -143,8 +150,7 @@ def cut_pieces(
         own, end = word_encoder(path), end_id.to_bytes(4, "little")
         try:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for part in slices(batch):
                     row, starts, lengths, sums, totals = [], [], [], [], []
                     for k, ids in enumerate(own.encode([t or "" for t in part.column(1).to_pylist()])):
                         ids += end

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import public_tokenizers
@@ -104,3 +105,56 @@ def test_no_memo_outlives_its_packing_task():
     assert [r["length"] for r in found] == [4, 2, 1, 4, 2, 1]
     own = packing.word_encoder(path)
     assert not own.memo and not own.pieces
+
+
+def word_ids(library, text):
+    return b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids)
+
+
+def test_words_are_cut_and_encoded_together(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), WordEncoder(path)
+    monkeypatch.setattr(pretokens, "_WORD_LEVEL", None)  # no word is cut by itself
+    draw = random.Random(6)
+    parts = ["ab", "Z", "s", "re", "l", "'", "'s", "'re", "'ll", "é", "ſ", "1", "½", ",", "\x1c", "\x85", "\t", " ", "中", "́", "😀"]
+    special = [*parts, "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["", "'", "it's", *("".join(draw.choices(k, k=draw.randint(0, 9))) for k in (parts[:9], special) for _ in range(1500))]
+    for size in (1, 700):
+        for at in range(0, len(texts), size):
+            assert own.encode(texts[at : at + size]) == [word_ids(library, t) for t in texts[at : at + size]]
+    asked = []
+    learn = own.learn
+    own.learn = lambda words: asked.append(words) or learn(words)
+    own.encode(["the cat, the dog", "the cat!"])
+    assert asked == [["the", "cat", ",", "dog", "!"]]
+
+
+def test_letters_of_a_later_unicode_are_the_librarys():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), WordEncoder(path)
+    # Unassigned or assigned after the Unicode of Python, of ``regex`` or of the library.
+    for c in (0x558, 0x1C89, 0xA7CE, 0xA7DC, 0x10D50, 0x16EA0, 0x323B0):
+        text = f"a{chr(c)}b'{chr(c)}s {chr(c)}1"
+        assert own.encode([text]) == [word_ids(library, text)]
+
+
+def test_other_patterns_cut_words_as_the_library_does(tmp_path):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        described = json.load(file)
+    (split,) = [p for p in described["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+    split["pattern"]["Regex"] = r"[\p{L}']+|[\p{N}]+|[^\s\p{L}\p{N}']+"
+    (tmp_path / "other.json").write_text(json.dumps(described), encoding="utf-8")
+    library, own = Tokenizer.from_file(str(tmp_path / "other.json")), WordEncoder(str(tmp_path / "other.json"))
+    texts = ["It's 12, isn't it?", "", "a'b 3x!", "日本" * 100, "it's"]
+    assert own.encode(texts) == [word_ids(library, t) for t in texts]
+    assert all(len(key) <= MEMO_KEY for memo in (own.memo, own.pieces) for key in memo)
+
+
+def test_slices_hold_about_so_many_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_BYTES", 10)
+    texts = ["x" * 25, None, "", "é" * 6, "a", *["abc"] * 9]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    found = list(packing.slices(batch))
+    assert pa.Table.from_batches(found).to_pydict() == batch.to_pydict()
+    assert all(sum(len((t or "").encode()) for t in s.column(1).to_pylist()[1:]) < 10 for s in found)
+    assert not list(packing.slices(batch.slice(0, 0)))
