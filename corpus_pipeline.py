@@ -19,7 +19,7 @@ from fiscus.llm.packing import pack
 from fiscus.llm.paragraph_dedup import remove_repeats
 from fiscus.llm.quality import fit_rules, score_quality
 from fiscus.llm.signatures import Scheme
-from fiscus.shared import stored
+from fiscus.shared import stored, tallied
 
 REJECTED_BELOW = 0.5  # a document goes if low quality is likelier than high
 
@@ -43,9 +43,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; documents without an id stay."""
-    gone = stored(near_duplicates(docs, NEAR_COPIES).filter("not kept").select("doc_id"), "near-copies")
+    gone, seen = tallied(near_duplicates(docs, NEAR_COPIES).filter("not kept").select("doc_id"), "near-copies", rows="true")
     # Only documents that may go are joined; the texts of the others are not shuffled.
-    marked = IdMarks(gone, "doc_id").column(F.col("doc_id"))
+    marked = IdMarks(gone, "doc_id", seen["rows"]).column(F.col("doc_id"))
     unsure = docs.filter(marked).join(gone, "doc_id", "left_anti")
     return unsure.select(*docs.columns).union(docs.filter(~marked))
 

@@ -18,11 +18,11 @@ class IdMarks:
     """Tells of every wanted id that it is wanted, and of few others.
 
     Two hashed bits stand for each id. Where the bound on the bitmap is tight, more others
-    pass; none is missed. Null ids never pass.
+    pass; none is missed. Null ids never pass. ``rows``, where known, spares a count.
     """
 
-    def __init__(self, wanted: DataFrame, id_col: str = "id"):
-        self.bits = min(MARK_BITS, 2 ** max(10, (16 * wanted.count()).bit_length()))
+    def __init__(self, wanted: DataFrame, id_col: str = "id", rows: int | None = None):
+        self.bits = min(MARK_BITS, 2 ** max(10, (16 * (wanted.count() if rows is None else rows)).bit_length()))
         bits, places = self.bits, self._places
 
         def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from fiscus.llm.components import components
 from fiscus.llm.marks import IdMarks
 from fiscus.llm.signatures import Scheme, shingles, shingles_of_all, sketch_words
-from fiscus.shared import scratch, small_batches, stored
+from fiscus.shared import scratch, small_batches, stored, tallied
 
 BLOCK = 256
 PAIRS_PER_MEMBER = 4
@@ -103,9 +103,9 @@ def signed_sets(values: np.ndarray, counts: np.ndarray, scheme: Scheme) -> list[
     ]
 
 
-def shingle_sets(units: Units, wanted: DataFrame) -> DataFrame:
-    """``id`` and ``shingle_set`` of all units whose id is in ``wanted``, and of a few others; no text is shuffled."""
-    marks = IdMarks(wanted)
+def shingle_sets(units: Units, wanted: DataFrame, rows: int | None = None) -> DataFrame:
+    """``id`` and ``shingle_set`` of all units whose id is in ``wanted`` (of ``rows`` rows), and of a few others; no text is shuffled."""
+    marks = IdMarks(wanted, rows=rows)
     kind = units.for_tasks()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +130,8 @@ def buckets(nodes: DataFrame, signatures: DataFrame) -> DataFrame:
     """
     rows = signatures.select("id", F.explode("keys").alias("key"))
     extremes = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    shared = stored(extremes.filter("low <> high").select("key"), "shared-keys")
-    likely = rows.filter(IdMarks(shared, "key").column(F.col("key")))
+    shared, seen = tallied(extremes.filter("low <> high").select("key"), "shared-keys", rows="true")
+    likely = rows.filter(IdMarks(shared, "key", seen["rows"]).column(F.col("key")))
     members = likely.join(shared, "key").join(nodes, "id").select("key", F.col("node").alias("id")).distinct()
     return stored(members, "buckets")
 
@@ -340,17 +340,19 @@ def links_across_groups(units: Units, blocks: DataFrame, signatures: DataFrame,
 
     own = signatures.select("id", "n_shingles", "sketch")
     members = blocks.join(own, "id").select(*PAIR_KEY, "id", "component", "n_shingles", "sketch")
-    left = stored(
-        sorted_by_pair(members).mapInArrow(possible, "a long, b long, component long, key long, i int, j int"), "open-pairs"
+    left, seen = tallied(
+        sorted_by_pair(members).mapInArrow(possible, "a long, b long, component long, key long, i int, j int"), "open-pairs",
+        rows="true", dense="b is null",
     )
-    if left.isEmpty():
+    if not seen["rows"]:
         return left.select("a", "b")
     pairs = left.filter("b is not null").select("a", "b").distinct()
     dense = left.filter("b is null").withColumnRenamed("a", "id").drop("b")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense.select("id")).distinct()
-    sets = stored(shingle_sets(units, wanted), "shingle-sets")
+    wanted, ends = tallied(wanted, "wanted-sets", rows="true")
+    sets = stored(shingle_sets(units, wanted, ends["rows"]), "shingle-sets")
     links = confirmed(pairs, sets, scheme)
-    if dense.isEmpty():
+    if not seen["dense"]:
         return links
     return links.union(sorted_by_pair(dense.join(own, "id").join(sets, "id")).mapInArrow(joining, "a long, b long"))
 
@@ -387,13 +389,15 @@ def _grouped(units: Units, scheme: Scheme, unique_ids: bool) -> DataFrame:
         "nodes",
     )
     members = buckets(nodes, signatures)
-    tried = stored(sifted(hub_links(members), signatures, scheme), "tried-links")
+    tried, seen = tallied(sifted(hub_links(members), signatures, scheme), "tried-links", rows="true")
     ends = tried.select(F.col("a").alias("id")).union(tried.select("b"))
-    sets = stored(shingle_sets(units, ends), "shingle-sets")
+    sets = stored(shingle_sets(units, ends, 2 * seen["rows"]), "shingle-sets")
     links = stored(confirmed(tried, sets, scheme), "links")
     groups = components(links)
-    across = stored(links_across_groups(units, open_blocks(members, groups), signatures, scheme), "more-links")
-    if not across.isEmpty():
+    across, seen = tallied(
+        links_across_groups(units, open_blocks(members, groups), signatures, scheme), "more-links", rows="true"
+    )
+    if seen["rows"]:
         groups = components(links.union(across))
     return nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").select(
         "id", "n_shingles", F.coalesce("component", "node").alias("component")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from fiscus.llm.doc_numbers import numbered
 from fiscus.llm.marks import IdMarks
 from fiscus.llm.signatures import _STEP, SHINGLE_WORDS, WORDS_AT_ONCE, mixed, word_hashes
-from fiscus.shared import scratch, small_batches, stored
+from fiscus.shared import scratch, small_batches, stored, tallied
 
 WINDOW = 20
 ANCHOR = 8
@@ -170,13 +170,14 @@ def anchor_stretches(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(found, "key long, proof long")
 
 
-def likely_repeats(texts: DataFrame, bits: int, shared: DataFrame) -> DataFrame:
+def likely_repeats(texts: DataFrame, bits: int, shared: DataFrame, n_shared: int | None = None, n_mixed: int | None = None) -> DataFrame:
     """``key``, ``proof``, ``place`` and ``n`` (number of windows) of stretches or windows whose anchor is in ``shared``.
 
     ``place`` is document number and word in one number. An anchor that is ``mixed`` has its windows one by one, here as everywhere.
+    ``n_shared`` and ``n_mixed``, where known, are the numbers of anchors in ``shared`` and of mixed ones.
     """
-    marks = IdMarks(shared, "key")
-    mixed_up = IdMarks(shared.filter("mixed"), "key")
+    marks = IdMarks(shared, "key", n_shared)
+    mixed_up = IdMarks(shared.filter("mixed"), "key", n_mixed)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,13 +231,15 @@ def repeated_spans(plain: DataFrame, percent: int) -> DataFrame:
     with scratch(plain.sparkSession), small_batches(plain.sparkSession):
         texts, numbers = numbered(plain)
         bits = numbers.bits
-        shared = stored(
+        shared, seen = tallied(
             anchor_stretches(texts).groupBy("key")
             .agg(F.count("*").alias("n"), F.min("proof").alias("low"), F.max("proof").alias("high"))
             .filter("n > 1").select("key", F.expr("low <> high").alias("mixed")),
             "shared-anchors",
+            n_shared="true",
+            n_mixed="mixed",
         )
-        likely = stored(likely_repeats(texts, bits, shared), "likely-repeats")
+        likely = stored(likely_repeats(texts, bits, shared, **seen), "likely-repeats")
         # Stored before the join, so that a hot window is dealt out over several tasks (skewed sort-merge join).
         firsts = stored(
             likely.groupBy("key", "proof").agg(F.min("place").alias("first"), F.max("place").alias("last"))

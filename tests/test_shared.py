@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from fiscus.shared import scratch, stored
+from fiscus.shared import scratch, stored, tallied
 
 
 def folder(frame):
@@ -31,3 +31,22 @@ def test_scratch_tables_go_after_an_error(spark):
         gone = folder(stored(spark.range(5).toDF("a"), "gone"))
         raise KeyError
     assert not os.path.exists(gone)
+
+
+def jobs_of(spark, name, work):
+    """What the work returns and the number of Spark jobs that it takes."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rows_are_counted_as_they_are_written(spark):
+    rows = spark.range(1000).selectExpr("id", "if(id % 10 = 0, null, id % 3) AS part").repartition(7, "id")
+    _, plain = jobs_of(spark, "plain", lambda: stored(rows, "rows"))
+    (table, seen), with_counts = jobs_of(spark, "counted", lambda: tallied(rows, "rows", rows="true", zeros="part = 0", empty="part is null"))
+    assert with_counts == plain and table.dtypes == rows.dtypes
+    assert seen == {"rows": table.count(), "zeros": table.filter("part = 0").count(), "empty": 100}
+    none, seen = tallied(rows.filter("id < 0").join(rows.select("id"), "id"), "none", rows="true", zeros="part = 0")
+    assert none.count() == 0 and seen == {"rows": 0, "zeros": 0}
