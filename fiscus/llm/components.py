@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscus.shared import stored, tallied
+from fiscus.shared import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,10 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
             "id", F.col("component").alias("old"), F.least("component", "near").alias("step")
         )
         hops = labels.select(F.col("id").alias("step"), F.col("component").alias("hop"))
-        rounds, seen = tallied(
-            stepped.join(hops, "step").select("id", "old", F.least("step", "hop").alias("component")), "labels",
-            changed="component <> old",
+        rounds = stored(
+            stepped.join(hops, "step").select("id", "old", F.least("step", "hop").alias("component")), "labels"
         )
         labels = rounds.select("id", "component")
-        if not seen["changed"]:
+        if rounds.filter("component <> old").isEmpty():
             return labels
